@@ -75,6 +75,21 @@ def label_rows(labels: DataFrame, value: str) -> DataFrame:
     return labels.where(F.col("doc_id").isNotNull() & F.col(value).isNotNull()).groupBy("doc_id").agg(F.max(value).cast("int").alias("_label"))
 
 
+#: Labels up to so many rows are broadcast (about 100 bytes each in a hash map); more are joined by a shuffle.
+BROADCAST_LABELS = 1_000_000
+
+
+def join_labels(docs: DataFrame, known: DataFrame, how: str = "inner") -> DataFrame:
+    """docs with the _label of label_rows(); their number is checked before they are broadcast."""
+    few = known.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS
+    return docs.join(F.broadcast(known) if few else known, "doc_id", how)
+
+
+def tuning_rows(docs: DataFrame, known: DataFrame, most: int) -> DataFrame:
+    """docs with _label for at most `most` labelled ids, the first by hash."""
+    return join_labels(docs, known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))
+
+
 class Cache(dict):
     """A dict that computes what it lacks and starts afresh beyond a number of entries, so that its memory is bounded."""
 

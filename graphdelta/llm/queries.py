@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from graphdelta.llm.chat_format import op10_chat_format
+from graphdelta.llm.quality import op9_quality
+from graphdelta.llm.toxicity import op3_toxicity
 from graphdelta.llm.url_filter import op1_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": op1_url_filter,
+        "op3_toxicity": op3_toxicity,
+        "op9_quality": op9_quality,
         "op10_chat_format": op10_chat_format,
     }
 
