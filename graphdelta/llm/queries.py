@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from graphdelta.llm.byte_bpe import op8_byte_bpe
 from graphdelta.llm.chat_format import op10_chat_format
 from graphdelta.llm.quality import op9_quality
+from graphdelta.llm.secrets import op4_secrets
+from graphdelta.llm.token_files import op6_token_files
 from graphdelta.llm.toxicity import op3_toxicity
 from graphdelta.llm.url_filter import op1_url_filter
 
@@ -16,6 +19,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": op1_url_filter,
         "op3_toxicity": op3_toxicity,
+        "op4_secrets": op4_secrets,
+        "op6_token_files": op6_token_files,
+        "op8_byte_bpe": op8_byte_bpe,
         "op9_quality": op9_quality,
         "op10_chat_format": op10_chat_format,
     }
