@@ -75,14 +75,19 @@ def label_rows(labels: DataFrame, value: str) -> DataFrame:
     return labels.where(F.col("doc_id").isNotNull() & F.col(value).isNotNull()).groupBy("doc_id").agg(F.max(value).cast("int").alias("_label"))
 
 
-#: Labels up to so many rows are broadcast (about 100 bytes each in a hash map); more are joined by a shuffle.
-BROADCAST_LABELS = 1_000_000
+#: Tables of an id and a number up to so many rows are broadcast (about 100 bytes each in a hash map); larger ones are
+#: joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def checked(ids: DataFrame) -> DataFrame:
+    """A narrow table, marked for broadcast if it has few rows: their number is counted first."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ids
 
 
 def join_labels(docs: DataFrame, known: DataFrame, how: str = "inner") -> DataFrame:
-    """docs with the _label of label_rows(); their number is checked before they are broadcast."""
-    few = known.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS
-    return docs.join(F.broadcast(known) if few else known, "doc_id", how)
+    """docs with the _label of label_rows()."""
+    return docs.join(checked(known), "doc_id", how)
 
 
 def tuning_rows(docs: DataFrame, known: DataFrame, most: int) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from graphdelta.llm.byte_bpe import op8_byte_bpe
 from graphdelta.llm.chat_format import op10_chat_format
+from graphdelta.llm.minhash import OP5_SQL, op5_minhash
 from graphdelta.llm.quality import op9_quality
 from graphdelta.llm.secrets import op4_secrets
 from graphdelta.llm.token_files import op6_token_files
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_url_filter": op1_url_filter,
         "op3_toxicity": op3_toxicity,
         "op4_secrets": op4_secrets,
+        "op5_minhash": op5_minhash,
         "op6_token_files": op6_token_files,
         "op8_byte_bpe": op8_byte_bpe,
         "op9_quality": op9_quality,
@@ -28,4 +30,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op5_minhash": OP5_SQL,
+    }
