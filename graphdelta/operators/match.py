@@ -1,25 +1,23 @@
 """Rename and move detection: a blocked similarity join, then greedy one-to-one assignment without a serial loop.
 
-Candidates are removed and added nodes of one pair and kind that share a block. With default weights and no neighbours a
-score of T needs J(members) + MJ(types) >= (T - 0.2) / 0.4. Above T = 0.6 that asks for a shared member (or none on both
-sides), and for J(members) >= (T - 0.6) / 0.4, so a prefix of the globally rarest members is enough to meet. Below, a shared
-field type (or none on both sides) counts too. Other weights, or neighbours, fall back to the kind as block.
+Candidates are removed and added nodes of one pair and kind. With default weights and no neighbours a score of T needs
+J(members) + MJ(types) >= c with c = (T - 0.2) / 0.4, so one of both is at least c / 2: two nodes meet if they share one of the
+globally rarest members, or types, that a prefix filter for c / 2 keeps. A side that is empty on both nodes counts as 1 and
+leaves c - 1 for the other, so nodes with an empty side also meet by a prefix of the other one. No pair is lost; a pair of
+nodes that meets at all is scored exactly. Other weights, or nodes with neighbours, fall back to the kind as block.
 
-Nodes without members, or without types where that is a block, meet by their other side first: a block of its own would be
-quadratic, so equal fingerprints are paired by rank before candidates are made.
+Equal fingerprints are paired by rank before candidates are made: a block of them would be quadratic.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphdelta.functions.similarity import DEFAULT, Weights, similarity
 from graphdelta.operators.scratch import materialize
 
-ROUNDS = 200
+ROUNDS, FEW_ROUNDS, GROUP_ROWS = 10_000, 5, 200_000
 
 
 def _side(nodes: DataFrame, change: str, side: str, name: str) -> DataFrame:
@@ -38,57 +36,83 @@ def exact_matches(removed: DataFrame, added: DataFrame) -> DataFrame:
     return ranked(removed, "rid").join(ranked(added, "aid"), ["pair_id", "kind", "key", "n"]).select("pair_id", "rid", "aid", F.lit(1.0).alias("score"))
 
 
+def _blocks(df: DataFrame, name: str, share: float) -> DataFrame:
+    """pair_id, kind, name, side (m or t), token, weight (how often), total: what a node's sides are made of, with the share that
+    the partner must have of it."""
+    member = F.transform("fp.members", lambda m: F.struct(F.lit("m").alias("side"), m.alias("token"), F.lit(1).alias("weight")))
+    kinds = F.transform("fp.field_types", lambda e: F.struct(F.lit("t").alias("side"), e["t"].alias("token"), e["n"].alias("weight")))
+    sizes = df.select("pair_id", "kind", name, F.size("fp.members").alias("m"), F.aggregate("fp.field_types", F.lit(0), lambda s, e: s + e["n"]).alias("t"), F.explode(F.concat(member, kinds)).alias("x"))
+    total = F.when(F.col("x.side") == "m", F.col("m")).otherwise(F.col("t"))
+    other_empty = F.when(F.col("x.side") == "m", F.col("t") == 0).otherwise(F.col("m") == 0)
+    least = F.when(other_empty, F.lit(max(2 * share - 1, 0.0))).otherwise(F.lit(share))
+    return sizes.select("pair_id", "kind", name, "x.side", "x.token", "x.weight", total.alias("total"), least.alias("least"))
+
+
+def _prefix(blocks: DataFrame, seen: DataFrame, name: str) -> DataFrame:
+    """The rarest tokens of each node and side that a partner must share one of."""
+    order = Window.partitionBy("pair_id", "kind", name, "side").orderBy("df", "token")
+    before = F.coalesce(F.sum("weight").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    need = F.greatest(F.col("total") - F.ceil(F.col("total") * (F.col("least") - 1e-9)) + 1, F.lit(1))
+    own = blocks.join(seen, ["pair_id", "kind", "side", "token"]).withColumn("before", before)
+    return own.where((F.col("before") < need) | (F.col("least") <= 0)).select("pair_id", "kind", "side", "token", name, "total", "least")
+
+
+def _without_sides(df: DataFrame, name: str, share: float) -> DataFrame:
+    """Nodes that can meet by what they lack: both sides empty, or one where that alone is enough (share <= 0.5)."""
+    m, t = F.size("fp.members") == 0, F.size("fp.field_types") == 0
+    lacks = F.array_compact(F.array(F.when(m & t, F.lit("mt")), *([F.when(m, F.lit("m")), F.when(t, F.lit("t"))] if share <= 0.5 + 1e-9 else [])))
+    return df.select("pair_id", "kind", name, F.explode(lacks).alias("token"))
+
+
 def candidates(removed: DataFrame, added: DataFrame, threshold: float, weights: Weights = DEFAULT) -> DataFrame:
     """pair_id, rid, aid, score of all pairs of one kind with a score of at least the threshold."""
-    tokens: list[tuple[str, object]] = []
-    if weights == DEFAULT and threshold > 0.2 + 1e-9:
-        tokens.append(("m", F.col("fp.members")))
-        if threshold <= 0.6 + 1e-9:
-            tokens.append(("t", F.transform("fp.field_types", lambda e: e["t"])))
-    least = (threshold - 0.6) / 0.4 if threshold > 0.6 + 1e-9 else 0.0
-
-    def exploded(df: DataFrame, name: str) -> DataFrame:
-        if not tokens:
-            return df.select("pair_id", "kind", name, F.lit("").alias("token"), F.lit(0).alias("size"))
-        blocks = F.concat(*(F.when(F.size(a) == 0, F.array(F.lit(f"{p}|"))).otherwise(F.transform(a, lambda x, p=p: F.concat(F.lit(f"{p}:"), x))) for p, a in tokens))
-        return df.select("pair_id", "kind", name, F.size("fp.members").alias("size"), F.explode(blocks).alias("token"))
-
-    r, a = exploded(removed, "rid"), exploded(added, "aid")
-    if least > 0:
-        seen = r.select("pair_id", "kind", "token").unionByName(a.select("pair_id", "kind", "token")).groupBy("pair_id", "kind", "token").agg(F.count("*").alias("df"))
-
-        def prefix(df: DataFrame, name: str) -> DataFrame:
-            own = df.join(seen, ["pair_id", "kind", "token"])
-            place = Window.partitionBy("pair_id", "kind", name).orderBy("df", "token")
-            need = F.col("size") - F.ceil(F.col("size") * (least - 1e-9)) + 1
-            return own.withColumn("n", F.row_number().over(place)).where(F.col("n") <= F.greatest(need, F.lit(1))).drop("n", "df")
-
-        r, a = prefix(r, "rid"), prefix(a, "aid")
-    met = r.withColumnRenamed("size", "rsize").join(a.withColumnRenamed("size", "asize"), ["pair_id", "kind", "token"])
-    met = met.where(F.least("rsize", "asize") >= F.greatest("rsize", "asize") * (least - 1e-9)).select("pair_id", "rid", "aid").distinct()
+    share = (threshold - 0.2) / 0.4 / 2
+    named = removed.where(F.size("fp.neighbors") > 0).select("pair_id").unionByName(added.where(F.size("fp.neighbors") > 0).select("pair_id"))
+    if weights != DEFAULT or share <= 1e-9 or not named.isEmpty():
+        met = removed.select("pair_id", "kind", "rid").join(added.select("pair_id", "kind", "aid"), ["pair_id", "kind"]).select("pair_id", "rid", "aid")
+    else:
+        r, a = _blocks(removed, "rid", share), _blocks(added, "aid", share)
+        count = lambda df, c: df.groupBy("pair_id", "kind", "side", "token").agg(F.count("*").alias(c))
+        # tokens of one side alone can't meet, and needn't be ranked
+        both = count(r, "rn").join(count(a, "an"), ["pair_id", "kind", "side", "token"], "full_outer")
+        seen = materialize(both.select("pair_id", "kind", "side", "token", (F.coalesce("rn", F.lit(0)) + F.coalesce("an", F.lit(0))).alias("df")))
+        x, y = _prefix(r, seen, "rid"), _prefix(a, seen, "aid").withColumnsRenamed({"total": "total2", "least": "least2"})
+        met = x.join(y, ["pair_id", "kind", "side", "token"])
+        met = met.where(F.least("total", "total2") >= F.greatest("total", "total2") * (F.least("least", "least2") - 1e-9)).select("pair_id", "rid", "aid")
+        lacking = _without_sides(removed, "rid", share).join(_without_sides(added, "aid", share), ["pair_id", "kind", "token"])
+        met = met.unionByName(lacking.select("pair_id", "rid", "aid")).distinct()
     full = met.join(removed.select("pair_id", "rid", F.col("fp").alias("rfp")), ["pair_id", "rid"]).join(added.select("pair_id", "aid", F.col("fp").alias("afp")), ["pair_id", "aid"])
     return full.select("pair_id", "rid", "aid", similarity(F.col("rfp"), F.col("afp"), weights).alias("score")).where(F.col("score") >= threshold)
 
 
 def greedy(cands: DataFrame, keys: tuple[str, ...] = ("pair_id",)) -> DataFrame:
     """The assignment of taking candidates by (score desc, rid, aid), each id once: the order is total, so it equals taking,
-    round by round, all pairs that are best for both their ids."""
+    round by round, all pairs that are best for both their ids. Each round writes one table. Chains of ties may need many
+    rounds: what a few rounds leave is finished pair by pair once its largest group is small."""
     order = [F.col("score").desc(), F.col("rid"), F.col("aid")]
-    left, out = materialize(cands.select(*keys, "rid", "aid", "score")), None
-    for _ in range(ROUNDS):
+    by = lambda c: F.row_number().over(Window.partitionBy(*keys, c).orderBy(*order))
+    columns = [*keys, "rid", "aid", "score"]
+    left, out = materialize(cands.select(*columns)), None
+    for k in range(ROUNDS):
         if left.isEmpty():
             break
-        by = lambda c: F.row_number().over(Window.partitionBy(*keys, c).orderBy(*order))
-        best = materialize(left.withColumn("r", by("rid")).withColumn("a", by("aid")).where("r = 1 AND a = 1").select(*keys, "rid", "aid", "score"))
+        if k >= FEW_ROUNDS and left.groupBy(*keys).count().agg(F.max("count")).first()[0] <= GROUP_ROWS:
+            out = out.unionByName(_one_by_one(left, keys))
+            break
+        ranked = materialize(left.withColumn("best", (by("rid") == 1) & (by("aid") == 1)))
+        best = ranked.where("best").select(*columns)
         out = best if out is None else out.unionByName(best)
-        left = materialize(left.join(best.select(*keys, "rid"), [*keys, "rid"], "left_anti").join(best.select(*keys, "aid"), [*keys, "aid"], "left_anti"))
+        left = ranked.where("NOT best").select(*columns)
+        for c in ("rid", "aid"):
+            left = left.join(best.select(*keys, c), [*keys, c], "left_anti")
+        left = materialize(left)
     else:
-        out = out.unionByName(_one_by_one(left, keys))
+        raise RuntimeError(f"matching did not settle in {ROUNDS} rounds")
     return out if out is not None else left
 
 
 def _one_by_one(left: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """What long chains of ties leave after ROUNDS: the serial loop, per pair."""
+    """The serial loop, one group of keys a task."""
     def run(pdf):
         used_r, used_a, keep = set(), set(), []
         for i, row in pdf.sort_values(["score", "rid", "aid"], ascending=[False, True, True]).iterrows():
