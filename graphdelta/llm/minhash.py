@@ -206,13 +206,13 @@ def link(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
         pairs = materialize(pairs, "pairs")
         good = materialize(confirm(pairs, texts, shingle, percent), "links")
         links = good if links is None else materialize(links.unionByName(good), "links")
-        discard(pairs, open_)
+        discard(pairs)
         if last:
             break
         found = materialize(components(links), "components")
         again = still.drop("component").join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
         after = materialize(again.select("key", "doc_id", "size", "sig", "component"), "members")
-        discard(members, found)
+        discard(members, found, open_)  # what was just written was read from them
         members = after
     discard(members)
     edges = member.where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
