@@ -24,19 +24,21 @@ DEFAULT = Weights()
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    """Of two arrays read as sets; two empty ones are alike."""
-    both = F.size(F.array_union(a, b))
-    return F.when(both == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / both)
+    """Of two arrays without repeats; two empty ones are alike. The union's size follows from the intersection's, which is
+    built once."""
+    common = F.size(F.array_intersect(a, b)).cast("double")
+    return F.when(F.size(a) + F.size(b) == 0, F.lit(1.0)).otherwise(F.transform(F.array(common), lambda c: c / (F.size(a) + F.size(b) - c))[0])
 
 
 def multiset_jaccard(a: Column, b: Column) -> Column:
     """Of two arrays of (t, n), each t once: sum of the lesser counts by sum of the greater ones; nothing on both sides is
-    alike."""
+    alike. The greater ones sum to all counts less the lesser ones."""
     entries = lambda x: F.map_from_entries(F.transform(x, lambda e: F.struct(e["t"], e["n"].cast("long"))))
     zero = F.lit(0).cast("long")
-    counts = F.map_values(F.map_zip_with(entries(a), entries(b), lambda k, x, y: F.struct(F.least(F.coalesce(x, zero), F.coalesce(y, zero)).alias("lo"), F.greatest(F.coalesce(x, zero), F.coalesce(y, zero)).alias("hi"))))
-    total = lambda side: F.aggregate(counts, zero, lambda s, c: s + c[side])
-    return F.when(total("hi") == 0, F.lit(1.0)).otherwise(total("lo") / total("hi"))
+    total = lambda x: F.aggregate(x, zero, lambda s, e: s + e["n"])
+    lesser = F.map_values(F.map_zip_with(entries(a), entries(b), lambda k, x, y: F.least(F.coalesce(x, zero), F.coalesce(y, zero))))
+    every = total(a) + total(b)
+    return F.when(every == 0, F.lit(1.0)).otherwise(F.transform(F.array(F.aggregate(lesser, zero, lambda s, c: s + c)), lambda c: c / (every - c))[0])
 
 
 def doc_hash(doc: Column) -> Column:
