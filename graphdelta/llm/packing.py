@@ -19,10 +19,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphdelta.llm._common import materialize, ship, table
+from graphdelta.llm._common import binary_values, materialize, ship, table
 
 CAPACITY, GROUP = 2048, 8192
 SCHEMA = "doc_id long, piece long, start long, n_tokens long, bin_id string, bin_offset long"
@@ -132,12 +133,19 @@ def assemble(docs: DataFrame, packed: DataFrame, words: str = "words") -> DataFr
 def with_lengths(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens (words between ASCII white space), source, and cluster: a hash of the text's words in ASCII lower
     case, so that copies of one text share it; null for texts without words."""
-    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " ")
-    folded = F.trim(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
-    n = F.length("folded") - F.length(F.replace(F.col("folded"), F.lit(" "), F.lit(""))) + 1
-    some = F.col("folded") != ""
-    own = docs.select("doc_id", folded.alias("folded"), "source")
-    return own.select("doc_id", F.when(some, n).otherwise(0).cast("long").alias("n_tokens"), "source", F.when(some, F.xxhash64("folded")).alias("cluster"))
+    ship(docs.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            n, cluster = [], []
+            for text in binary_values(batch.column(2)):
+                words = text.lower().split()
+                n.append(len(words))
+                cluster.append(xxhash.xxh3_128_hexdigest(b" ".join(words)) if words else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), batch.column(1), pa.array(cluster, pa.string())], names=["doc_id", "n_tokens", "source", "cluster"])
+
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text")
+    return own.mapInArrow(run, "doc_id long, n_tokens long, source string, cluster string")
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
