@@ -123,7 +123,7 @@ def io_in_hot_path(v: Version, severity: str) -> DataFrame:
 
 def columns_of(node: str) -> Column:
     """name and type of each entry of a Table's `columns` attribute."""
-    text = F.element_at(F.filter(F.col(node)["attrs"], lambda a: a["k"] == "columns"), 1)["v"]
+    text = F.get(F.filter(F.col(node)["attrs"], lambda a: a["k"] == "columns"), F.lit(0))["v"]
     parts = F.filter(F.split(F.coalesce(text, F.lit("")), ", "), lambda p: F.contains(p, F.lit(": ")))
     return F.transform(parts, lambda p: F.struct(F.trim(F.split(p, ": ", 2)[0]).alias("name"), F.trim(F.split(p, ": ", 2)[1]).alias("type")))
 

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphdelta.functions.ids import SEP, crate_of, has_parent, normalize_path
+from graphdelta.operators.scratch import materialize
 
-HOPS = 16
+#: 16 hops through re-exports: the map composed with itself four times.
+DOUBLINGS = 4
 
 
 def first_wins(rows: DataFrame, keys: list[str], order: str = "seq") -> DataFrame:
@@ -25,14 +27,15 @@ def reexport_map(uses: DataFrame) -> DataFrame:
     return named.groupBy("graph_id", "name").agg(F.max_by("target", "seq").alias("target"))
 
 
-def chase(paths: DataFrame, exports: DataFrame, hops: int = HOPS) -> DataFrame:
-    """Adds `resolved`: `path` followed through re-exports, at most `hops` times; a name that stands for itself stops. The map
-    is small against the paths, and only paths that still move are joined again."""
-    every = paths.withColumn("resolved", F.col("path"))
-    step = exports.select("graph_id", F.col("name").alias("resolved"), F.col("target").alias("_next")).where(F.col("resolved") != F.col("_next"))
-    for _ in range(hops):
-        every = every.join(step, ["graph_id", "resolved"], "left").withColumn("resolved", F.coalesce("_next", "resolved")).drop("_next")
-    return every.select(*paths.columns, "resolved")
+def chase(paths: DataFrame, exports: DataFrame, doublings: int = DOUBLINGS) -> DataFrame:
+    """Adds `resolved`: `path` followed through re-exports, at most 2^doublings times; a name that stands for itself stops. The
+    map is composed with itself first, so that the paths, which may be many, are joined once."""
+    step = exports.select("graph_id", "name", "target").where(F.col("name") != F.col("target"))
+    for _ in range(doublings):
+        on = step.select("graph_id", F.col("name").alias("target"), F.col("target").alias("_next"))
+        step = step.join(on, ["graph_id", "target"], "left").select("graph_id", "name", F.coalesce("_next", "target").alias("target"))
+    known = materialize(step).select("graph_id", F.col("name").alias("path"), F.col("target").alias("_to"))
+    return paths.join(known, ["graph_id", "path"], "left").select(*(F.col(f"`{c}`") for c in paths.columns), F.coalesce("_to", "path").alias("resolved"))
 
 
 def prefixes(path: str):

@@ -71,7 +71,7 @@ VIEWS = {
     "types": (["Struct", "Enum", "Trait"], ["Implements", "Associates"], TYPE_HOPS),
     "callgraph": (["Fn"], ["Calls"], HOPS),
     "schema": (["Table"], ["ForeignKey"], HOPS),
-    "overview": (["Module", "Struct", "Enum", "Trait", "Fn", "Variant", "Table"], ["Uses", "Implements", "Associates", "Calls", "Transitions", "ForeignKey"], HOPS),
+    "overview": (["Struct", "Enum", "Trait", "Fn"], ["Implements", "Associates", "Calls"], HOPS),
 }
 
 
@@ -91,7 +91,7 @@ def select_view(view: str, nodes: DataFrame, edges: DataFrame, changes: DataFram
 
 def unresolved(nodes: DataFrame) -> DataFrame:
     """pair_id, id, n: functions with calls that have no static callee."""
-    text = F.element_at(F.filter("attrs", lambda a: a["k"] == "unresolved_calls"), 1)["v"]
+    text = F.get(F.filter("attrs", lambda a: a["k"] == "unresolved_calls"), F.lit(0))["v"]
     return nodes.where("kind = 'Fn'").select("pair_id", "id", text.cast("long").alias("n")).where("n > 0")
 
 

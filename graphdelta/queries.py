@@ -62,14 +62,14 @@ def _nations(spark: SparkSession, sf_dir: str, config: Config = CONFIG) -> lint.
 
 def _states(spark: SparkSession, sf_dir: str) -> lint.Version:
     base, head = _events(spark, sf_dir)
-    return lint.Version(*head, diff.diff(base, head, None), CONFIG)
+    return lint.Version(*head, materialize(diff.diff(base, head, None)), CONFIG)
 
 
 def _schemas(spark: SparkSession) -> lint.Version:
     nodes, edges = tg.schema_graph(spark)
     pairs = tg.one_pair(spark)
     (bn, hn), (be, he) = diff.sides(nodes, pairs), diff.sides(edges, pairs)
-    return lint.Version(hn, he, diff.diff((bn, be), (hn, he), None), CONFIG)
+    return lint.Version(hn, he, materialize(diff.diff((bn, be), (hn, he), None)), CONFIG)
 
 
 def _calls(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -475,3 +475,102 @@ def q_tree_edit_distance(spark, sf_dir):
     leaves = seqs.select("pair_id", "side", F.posexplode("labels").alias("pos", "label")).select("pair_id", "side", (F.col("pos") + 1).alias("node"), F.lit(0).alias("parent"), "pos", "label")
     roots = seqs.select("pair_id").distinct().select("pair_id", F.explode(F.array(F.lit("base"), F.lit("head"))).alias("side"), F.lit(0).alias("node"), F.lit(None).cast("int").alias("parent"), F.lit(0).alias("pos"), F.lit("root").alias("label"))
     return tree.tree_diff(leaves.unionByName(roots)).select("pair_id", F.col("cost").cast("long").alias("cost"))
+
+
+# ---- source trees ----------------------------------------------------------------------------------------------------------
+
+
+def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A version per shipping half with a Rust file per nation, written from the tables: a struct per supplier with a field per
+    brand, an enum of the order states, and functions that call one another."""
+    profiles = tg.supplier_profiles(spark, sf_dir)
+    fields = F.array_join(F.transform("fp.member_types", lambda m: F.concat(F.lit("    pub b"), F.regexp_replace(m["m"], r"\D", ""), F.lit(": Vec<"), F.initcap(m["t"]), F.lit(">,\n"))), "")
+    name = F.substring_index("id", "::", -1)
+    struct = F.concat(F.lit("/// Supplies.\npub struct "), name, F.lit(" {\n"), fields, F.lit("}\nimpl "), name, F.lit(" { pub fn run(&self) -> u64 { helper(1); self.run2(); other() } fn run2(&self) {} }\n"))
+    module = F.regexp_extract("id", r"N(\d+)::", 1)
+    code = profiles.select("graph_id", F.concat(F.lit("src/n"), module, F.lit(".rs")).alias("path"), F.struct("id", struct.alias("s")).alias("s"))
+    files = code.groupBy("graph_id", "path").agg(F.concat(F.lit("use crate::shared::Order;\nfn helper(x: u64) -> u64 { x }\n"), F.array_join(F.array_sort(F.collect_list("s"))["s"], "")).alias("content"))
+    mods = files.groupBy("graph_id").agg(F.concat(F.lit("pub mod shared;\n"), F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("mod "), F.regexp_extract("path", r"(n\d+)", 1), F.lit(";\n")))), "")).alias("content"))
+    states = tg.table(spark, sf_dir, "orders").select("o_orderstatus").distinct().agg(F.array_sort(F.collect_list("o_orderstatus")).alias("s"))
+    enum = states.select(F.concat(F.lit("pub enum Order { "), F.array_join("s", ", "), F.lit(" }\nimpl Order { pub fn next(self) -> Order { match self { "), F.array_join(F.transform("s", lambda x, i: F.concat(F.lit("Order::"), x, F.lit(" => Self::"), F.element_at("s", (i + 1) % F.size("s") + 1), F.lit(", "))), ""), F.lit("} } }\n")).alias("content"))
+    graphs = mods.select("graph_id")
+    every = files.unionByName(mods.select("graph_id", F.lit("src/lib.rs").alias("path"), "content")).unionByName(graphs.crossJoin(enum).select("graph_id", F.lit("src/shared.rs").alias("path"), "content"))
+    return every.select("graph_id", "path", F.encode("content", "UTF-8").alias("content"))
+
+
+def _extracted(spark: SparkSession, sf_dir: str):
+    from graphdelta.sources.rustsrc.scan import rust_graph
+
+    return rust_graph(materialize(_sources(spark, sf_dir)))
+
+
+@query
+def q_extract_nodes(spark, sf_dir):
+    nodes, _ = _extracted(spark, sf_dir)
+    return nodes.select("graph_id", "id", "kind", F.size("fp.members").cast("long").alias("n_members"))
+
+
+@query
+def q_extract_edges(spark, sf_dir):
+    _, edges = _extracted(spark, sf_dir)
+    return edges.select("graph_id", "kind", F.col("from").alias("from_id"), F.col("to").alias("to_id"), F.col("ordinal").cast("long").alias("ordinal"))
+
+
+SCHEMA_SOURCE = """
+table! {{ nations (key) {{ key -> Int4, {columns} }} }}
+diesel::table! {{ regions (key) {{ key -> Int4, name -> Varchar, }} }}
+joinable!(nations -> regions (region));
+joinable!(nations -> ghosts (ghost));
+"""
+
+
+@query
+def q_extract_schema(spark, sf_dir):
+    """A schema file per region, with a column per nation of it."""
+    from graphdelta.sources.rustsrc.scan import schema_files_graph
+
+    columns = F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("n"), F.col("n_nationkey").cast("string"), F.lit(" -> Nullable<Text>")))), ", ")
+    before, after = SCHEMA_SOURCE.format(columns="\0").split("\0")
+    files = tg.table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").cast("string").alias("graph_id")).agg(F.encode(F.concat(F.lit(before), columns, F.lit(after)), "UTF-8").alias("content"))
+    nodes, edges = schema_files_graph(files.withColumn("path", F.lit("src/schema.rs")))
+    t = nodes.select("graph_id", F.lit("Table").alias("kind"), "id", F.element_at("attrs", 1)["v"].alias("value"))
+    return t.unionByName(edges.select("graph_id", "kind", F.col("from").alias("id"), F.col("to").alias("value")))
+
+
+# ---- diagrams --------------------------------------------------------------------------------------------------------------
+
+
+def _render(view: str, fmt: str = "mermaid", **options) -> Query:
+    def run(spark, sf_dir):
+        from graphdelta.operators.render import render
+
+        nodes, edges = (materialize(x) for x in _extracted(spark, sf_dir))
+        pairs = tg.one_pair(spark)
+        (bn, hn), (be, he) = diff.sides(nodes, pairs), diff.sides(edges, pairs)
+        changes = materialize(diff.diff((bn, be), (hn, he)))
+        return render(view, pairs, hn, he, changes, fmt, **options)
+
+    return run
+
+
+for _view in ("modules", "states", "types", "calls", "callgraph", "overview"):
+    QUERIES[f"q_render_{_view}"] = _render(_view, full=_view != "calls")
+for _fmt in ("dot", "ascii", "boxes", "svg"):
+    QUERIES[f"q_render_types_{_fmt}"] = _render("types", _fmt)
+
+
+@query
+def q_render_schema(spark, sf_dir):
+    from graphdelta.operators.render import render
+
+    v = _schemas(spark)
+    return render("schema", tg.one_pair(spark), v.nodes, v.edges, v.changes)
+
+
+@query
+def q_render_nations(spark, sf_dir):
+    """The module diagram of every quarter against the one before."""
+    from graphdelta.operators.render import render
+
+    v = _nations(spark, sf_dir)
+    return render("modules", v.nodes.select("pair_id").distinct(), v.nodes, v.edges, v.changes)

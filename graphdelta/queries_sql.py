@@ -180,4 +180,15 @@ SQL: dict[str, str] = {
       UNION ALL SELECT pair_id, '-', pos, block FROM s x WHERE side = 0 AND NOT EXISTS (SELECT 1 FROM s y WHERE y.pair_id = x.pair_id AND y.side = 1 AND y.block = x.block)""",
     "q_tree_edit_distance": """WITH l AS (SELECT floor(l_orderkey / 2)::BIGINT AS pair_id, l_orderkey % 2 AS side, string_agg(p_type[1], '' ORDER BY l_linenumber, l_partkey, l_suppkey, p_type[1]) AS s FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1, 2)
       SELECT pair_id, levenshtein(coalesce(max(s) FILTER (side = 0), ''), coalesce(max(s) FILTER (side = 1), ''))::BIGINT AS cost FROM l GROUP BY pair_id""",
+    "q_extract_nodes": PROFILES + """, o AS (SELECT DISTINCT o_orderstatus AS s FROM orders), gs AS (SELECT DISTINCT g FROM per),
+      st AS (SELECT g, 'crate::n' || replace(split_part(id, '::', 2), 'N', '') AS home, split_part(id, '::', 3) AS name, count(DISTINCT regexp_replace(m, '[^0-9]', '', 'g')) AS n FROM b GROUP BY ALL)
+      SELECT g AS graph_id, 'crate' AS id, 'Module' AS kind, NULL::BIGINT AS n_members FROM gs UNION ALL SELECT g, 'crate::shared', 'Module', NULL FROM gs UNION ALL SELECT DISTINCT g, home, 'Module', NULL FROM st
+      UNION ALL SELECT g, home || '::' || name, 'Struct', n FROM st UNION ALL SELECT DISTINCT g, home || '::helper', 'Fn', 1 FROM st UNION ALL SELECT g, home || '::' || name || '::run', 'Fn', 0 FROM st UNION ALL SELECT g, home || '::' || name || '::run2', 'Fn', 0 FROM st
+      UNION ALL SELECT g, 'crate::shared::Order', 'Enum', (SELECT count(*) FROM o) FROM gs UNION ALL SELECT g, 'crate::shared::Order::' || s, 'Variant', NULL FROM gs, o UNION ALL SELECT g, 'crate::shared::Order::next', 'Fn', 0 FROM gs""",
+    "q_extract_edges": PROFILES + """, o AS (SELECT s, coalesce(lead(s) OVER (ORDER BY s), first_value(s) OVER (ORDER BY s)) AS t FROM (SELECT DISTINCT o_orderstatus AS s FROM orders)), gs AS (SELECT DISTINCT g FROM per),
+      st AS (SELECT DISTINCT g, 'crate::n' || replace(split_part(id, '::', 2), 'N', '') AS home, split_part(id, '::', 3) AS name FROM b)
+      SELECT DISTINCT g AS graph_id, 'Uses' AS kind, home AS from_id, 'crate::shared' AS to_id, NULL::BIGINT AS ordinal FROM st UNION ALL SELECT g, 'Calls', home || '::' || name || '::run', home || '::helper', 0 FROM st
+      UNION ALL SELECT g, 'Calls', home || '::' || name || '::run', home || '::' || name || '::run2', 1 FROM st UNION ALL SELECT g, 'Transitions', 'crate::shared::Order::' || s, 'crate::shared::Order::' || t, NULL FROM gs, o WHERE s <> t""",
+    "q_extract_schema": """SELECT n_regionkey::VARCHAR AS graph_id, 'Table' AS kind, 'nations' AS id, 'key: Int4, ' || string_agg('n' || n_nationkey || ': Nullable<Text>', ', ' ORDER BY 'n' || n_nationkey) AS value FROM nation GROUP BY n_regionkey
+      UNION ALL SELECT DISTINCT n_regionkey::VARCHAR, 'Table', 'regions', 'key: Int4, name: Varchar' FROM nation UNION ALL SELECT DISTINCT n_regionkey::VARCHAR, 'ForeignKey', 'nations', 'regions' FROM nation""",
 }
