@@ -5,10 +5,10 @@
 2. K = bands * ROWS minima per set give band keys; of each minimum only BITS low bits are kept, packed. Pairs within a
    band's bucket are compared by counting equal groups of bits, corrected for chance:
    (share - 2^-BITS) / (1 - 2^-BITS); those within MARGIN of the wanted similarity are candidates.
-3. Only components matter, so a bucket need not give all its pairs. Leader rounds compare each bucket's members with one
-   of them, confirm, and merge; members of one component are not compared again. When few members are left apart, or after
-   LEADER_ROUNDS, all remaining pairs of different components within a bucket are compared, so that no link that decides a
-   component is lost, whatever a bucket's size.
+3. Buckets of at most SMALL members give all their pairs, once. Only components matter, so a larger bucket need not: in
+   LEADER_ROUNDS rounds each compares its members with one of them, and members of one component are not compared again.
+   What is then still apart within a bucket is compared in tiles (tiles.py), exactly and without a row per pair, so that no
+   link that decides a component is lost, whatever a bucket's size.
 4. A candidate is confirmed on both whole texts: 100 * |intersection| >= percent * |union|. Texts meet by leader, split
    into bundles of at most BUNDLE members.
 
@@ -32,8 +32,11 @@ from pyspark.sql.window import Window
 
 from graphdelta.llm._common import binary_values, checked, discard, materialize, mix, ngram_hashes, ship, table, word_hashes
 from graphdelta.llm.components import components
+from graphdelta.llm.tiles import tile_join
 
-ROWS, BITS, MISS, MARGIN, LEADER_ROUNDS, BUNDLE, FEW = 4, 2, 1e-7, 0.27, 6, 256, 2.0
+ROWS, BITS, MISS, MARGIN, LEADER_ROUNDS, BUNDLE, SMALL = 4, 2, 1e-7, 0.27, 3, 256, 8
+#: How often a class of equal sets is dealt out, where classes are too many to be broadcast.
+SALTS = 64
 KEYS_SCHEMA = "doc_id long, n_shingles long, s1 long, s2 long, sig binary, bands array<long>"
 
 
@@ -161,12 +164,36 @@ def _apart(members: DataFrame) -> DataFrame:
     return members.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key", "size")
 
 
+def shingle_table(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id and shingles (binary: the sorted 64-bit hashes of the whole text)."""
+    def run(batches):
+        for batch in batches:
+            data = [shingle_hashes(t, shingle).tobytes() for t in binary_values(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], names=["doc_id", "shingles"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles binary")
+
+
+def class_members(firsts: DataFrame) -> DataFrame:
+    """doc_id and rep, the least doc_id with an equal set. Only sets that occur twice or more are joined back, and a set may be
+    that of a third of all rows: the join broadcasts these classes if they are few, else it deals each out SALTS times."""
+    sets = ["n_shingles", "s1", "s2"]
+    classes = materialize(firsts.groupBy(*sets).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n"), "classes")
+    own = firsts.select("doc_id", *sets)
+    few = checked(classes)
+    if few is not classes:
+        joined = own.join(few, sets, "left")
+    else:
+        salted = classes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = own.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, [*sets, "salt"], "left")
+    return joined.select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
+
+
 def link(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text). The result reads written tables only."""
     bands = bands_for(percent)
     n = bands * ROWS
     every = materialize(keys(docs, shingle, bands), "keys")
-    sets = ["n_shingles", "s1", "s2"]
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("text").alias("text"))
     ids = every.where("doc_id IS NOT NULL AND n_shingles > 0")
     repeated = every.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count() > 0
@@ -174,50 +201,54 @@ def link(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
         firsts = materialize(keys(texts, shingle, bands), "keys").where("n_shingles > 0")
     else:
         firsts, texts = ids, docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    classes = firsts.groupBy(*sets).agg(F.min("doc_id").alias("rep"))
-    member = materialize(firsts.select("doc_id", *sets).join(classes, sets).select("doc_id", "rep"), "member")
-    reps = materialize(firsts.join(member.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi").select("doc_id", "n_shingles", "sig", "bands"), "reps")
+    member = materialize(class_members(firsts), "member")
+    others = member.where("doc_id != rep").select("doc_id")
+    reps = materialize(firsts.select("doc_id", "n_shingles", "sig", "bands").join(checked(others), "doc_id", "left_anti"), "reps")
     rows = reps.select(F.explode("bands").alias("key"), "doc_id")
     shared = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
-    small = reps.select("doc_id", F.col("n_shingles").alias("size"), "sig")
-    members = materialize(rows.join(shared, "key").join(small, "doc_id").select("key", "doc_id", "size", "sig", F.col("doc_id").alias("component")), "members")
-    discard(reps)
+    own = reps.select("doc_id", F.col("n_shingles").alias("size"), "sig")
+    members = materialize(rows.join(shared, "key").join(own, "doc_id").select("key", "doc_id", "size", "sig", F.col("doc_id").alias("component")), "members")
 
     floor = percent / 100 - MARGIN
     sizes_fit = 100 * F.least("size", "size2") >= percent * F.greatest("size", "size2")
-    links = None
-    for k in range(LEADER_ROUNDS + 1):
-        open_ = materialize(_apart(members), "open")
-        left = open_.agg(F.count("*").alias("n"), F.sum(F.col("size") * F.col("size")).alias("pairs"), F.sum("size").alias("rows")).first()
-        if not left.n:
-            discard(open_)
-            break
-        last = k == LEADER_ROUNDS or left.pairs <= FEW * 2 * left.rows
-        still = members.join(open_.select("key"), "key", "left_semi")
-        other = lambda df: df.select("key", *(F.col(c).alias(f"{c}2") for c in ("doc_id", "size", "sig", "component")))
-        if last:
-            met = still.join(other(still), "key").where(F.col("doc_id") < F.col("doc_id2"))
-        else:
-            heads = still.groupBy("key").agg(F.min(F.struct(F.xxhash64("doc_id", F.lit(k)).alias("h"), "doc_id", "size", "sig", "component")).alias("h"))
-            met = still.join(other(heads.select("key", "h.doc_id", "h.size", "h.sig", "h.component")), "key")
+    other = lambda df: df.select("key", *(F.col(c).alias(f"{c}2") for c in ("doc_id", "size", "sig", "component")))
+
+    def confirmed(met: DataFrame) -> DataFrame:
+        """The head of a bucket comes as (doc_id2): its text then serves all its members."""
         met = met.where((F.col("component") != F.col("component2")) & sizes_fit & (estimate(F.col("sig"), F.col("sig2"), n) >= floor))
-        # the head of a bucket comes first: its text then serves all its members
-        pairs = met.select(F.col("doc_id2").alias("a"), F.col("doc_id").alias("b")).distinct()
-        pairs = materialize(pairs, "pairs")
+        pairs = materialize(met.select(F.col("doc_id2").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
         good = materialize(confirm(pairs, texts, shingle, percent), "links")
-        links = good if links is None else materialize(links.unionByName(good), "links")
         discard(pairs)
-        if last:
+        return good
+
+    sizes = members.groupBy("key").agg(F.count("*").alias("n"))
+    small = members.join(sizes.where(F.col("n") <= SMALL).select("key"), "key", "left_semi")
+    links = confirmed(small.join(other(small), "key").where(F.col("doc_id") < F.col("doc_id2")))
+    crowded = materialize(members.join(sizes.where(F.col("n") > SMALL).select("key"), "key", "left_semi"), "members")
+    discard(members)
+    members = crowded
+    for k in range(LEADER_ROUNDS + 1):
+        if members.isEmpty():
             break
         found = materialize(components(links), "components")
-        again = still.drop("component").join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        after = materialize(again.select("key", "doc_id", "size", "sig", "component"), "members")
-        discard(members, found, open_)  # what was just written was read from them
-        members = after
-    discard(members)
-    edges = member.where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    if links is not None:
-        edges = edges.unionByName(links)
+        now = members.drop("component").join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        now = materialize(now.select("key", "doc_id", "size", "sig", "component"), "members")
+        left = materialize(now.join(_apart(now).select("key"), "key", "left_semi"), "members")
+        discard(members, found, now)
+        members = left
+        if members.isEmpty():
+            break
+        if k < LEADER_ROUNDS:
+            heads = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("doc_id", F.lit(k)).alias("h"), "doc_id", "size", "sig", "component")).alias("h"))
+            new = confirmed(members.join(other(heads.select("key", "h.doc_id", "h.size", "h.sig", "h.component")), "key"))
+        else:
+            wanted = materialize(members.select("doc_id").distinct(), "ids")
+            sets = materialize(shingle_table(texts.join(checked(wanted), "doc_id", "left_semi"), shingle), "shingles")
+            apart = materialize(tile_join(members.select("key", "doc_id", "component", "size"), sets, percent), "tiles")
+            discard(sets, wanted)
+            new = materialize(confirm(apart.distinct(), texts, shingle, percent), "links")
+        links = materialize(links.unionByName(new), "links")
+    edges = member.where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).unionByName(links)
     found = materialize(components(edges), "components")
     return every.select("doc_id", "n_shingles").join(found, F.col("doc_id") == F.col("id"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
