@@ -8,8 +8,8 @@ in Spark.
     P(w)   = share of distinct word pairs (v,w), of both classes, that end in w
 
 P is shared: a word that neither class knows well gets about the same probability from both, so rare words weigh little.
-The word log ratios of a text are centred on their median, which its language shifts as a whole; those under CLEAR are
-taken as 0. The score is a logistic curve over their sum divided by the text's length (PRIOR_WORDS more), fitted on a
+The word log ratios of a text are centred on their median, which its language shifts as a whole (by at most SHIFT: a text of
+evidence alone must not be centred away); those under CLEAR are taken as 0. The score is a logistic curve over their sum divided by the text's length (PRIOR_WORDS more), fitted on a
 bounded sample of training rows that were left out of the counts (at most `calibrate` rows, by hash). A class model over
 pairs above P_c was tried and made held-out results worse (see README), so pairs only feed the shared counts.
 
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from graphdelta.llm._common import binary_values, fold, in_slices, join_labels, label_rows, mix, ship, table, tuning_rows, word_hashes
 
 WORDS = 1 << 20
-LEAST, DISCOUNT, CLEAR, PRIOR_WORDS, CALIBRATE = 3, 2.5, 2.0, 12.0, 20_000
+LEAST, DISCOUNT, CLEAR, SHIFT, PRIOR_WORDS, CALIBRATE = 3, 2.5, 2.0, 1.0, 12.0, 20_000
 FOLDS, HELD_OUT, TUNED = 5, 0, 4
 #: ASCII letters in lower case, digits and bytes beyond ASCII stay; all else separates.
 KEEP = bytes(ord(chr(c).lower()) if c < 128 and chr(c).isalnum() else c if c >= 128 else 32 for c in range(256))
@@ -74,7 +74,7 @@ class Model:
         for i, k in enumerate(n):
             if k:
                 own = ratio[start : start + k]
-                own = own - np.median(own)
+                own = own - np.clip(np.median(own), -SHIFT, SHIFT)
                 out[i] = own[own > CLEAR].sum()
                 start += k
         return out, n
