@@ -25,7 +25,7 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
         out = joined.select(F.col("n").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("v").alias("a"), F.col("m").alias("b")))
     else:
         out = joined.where(F.col("n") > F.col("v")).select(F.col("n").alias("a"), F.col("m").alias("b"))
-    return out.where(F.col("a") != F.col("b")).distinct()
+    return out.where(F.col("a") != F.col("b"))  # repeats may stay: the next star groups them
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -34,7 +34,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     now = materialize(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen = None
     for _ in range(most_rounds):
-        after = materialize(_star(_star(now, small=False), small=True), "edges")
+        after = materialize(_star(_star(now, small=False), small=True).distinct(), "edges")
         discard(now)
         now = after
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())

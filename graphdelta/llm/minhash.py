@@ -5,10 +5,9 @@
 2. K = bands * ROWS minima per set give band keys; of each minimum only BITS low bits are kept, packed. Pairs within a
    band's bucket are compared by counting equal groups of bits, corrected for chance:
    (share - 2^-BITS) / (1 - 2^-BITS); those within MARGIN of the wanted similarity are candidates.
-3. Buckets of at most SMALL members give all their pairs, once. Only components matter, so a larger bucket need not: in
-   LEADER_ROUNDS rounds each compares its members with one of them, and members of one component are not compared again.
-   What is then still apart within a bucket is compared in tiles (tiles.py), exactly and without a row per pair, so that no
-   link that decides a component is lost, whatever a bucket's size.
+3. Buckets of at most SMALL members give all their pairs. Only components matter, so a larger bucket need not: it compares
+   its members with one of them, and what is then still apart within it is compared in tiles (tiles.py), exactly and
+   without a row per pair, so that no link that decides a component is lost, whatever a bucket's size.
 4. A candidate is confirmed on both whole texts: 100 * |intersection| >= percent * |union|. Texts meet by leader, split
    into bundles of at most BUNDLE members.
 
@@ -23,6 +22,7 @@ gives no rows; columns beyond doc_id and text pass through drop_duplicates and a
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +34,7 @@ from graphdelta.llm._common import binary_values, checked, discard, materialize,
 from graphdelta.llm.components import components
 from graphdelta.llm.tiles import tile_join
 
-ROWS, BITS, MISS, MARGIN, LEADER_ROUNDS, BUNDLE, SMALL = 4, 2, 1e-7, 0.27, 3, 256, 8
+ROWS, BITS, MISS, MARGIN, BUNDLE, SMALL = 4, 2, 1e-7, 0.27, 256, 8
 #: How often a class of equal sets is dealt out, where classes are too many to be broadcast.
 SALTS = 64
 KEYS_SCHEMA = "doc_id long, n_shingles long, s1 long, s2 long, sig binary, bands array<long>"
@@ -160,8 +160,8 @@ def confirm(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> Da
 
 
 def _apart(members: DataFrame) -> DataFrame:
-    """Buckets with members of two components or more, and how many members each has."""
-    return members.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key", "size")
+    """Keys of buckets with members of two components or more."""
+    return members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
 
 
 def shingle_table(docs: DataFrame, shingle: int) -> DataFrame:
@@ -207,47 +207,33 @@ def link(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     rows = reps.select(F.explode("bands").alias("key"), "doc_id")
     shared = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
     own = reps.select("doc_id", F.col("n_shingles").alias("size"), "sig")
-    members = materialize(rows.join(shared, "key").join(own, "doc_id").select("key", "doc_id", "size", "sig", F.col("doc_id").alias("component")), "members")
+    members = materialize(rows.join(shared, "key").join(own, "doc_id").select("key", "doc_id", "size", "sig"), "members")
+    discard(reps)
 
     floor = percent / 100 - MARGIN
     sizes_fit = 100 * F.least("size", "size2") >= percent * F.greatest("size", "size2")
-    other = lambda df: df.select("key", *(F.col(c).alias(f"{c}2") for c in ("doc_id", "size", "sig", "component")))
-
-    def confirmed(met: DataFrame) -> DataFrame:
-        """The head of a bucket comes as (doc_id2): its text then serves all its members."""
-        met = met.where((F.col("component") != F.col("component2")) & sizes_fit & (estimate(F.col("sig"), F.col("sig2"), n) >= floor))
-        pairs = materialize(met.select(F.col("doc_id2").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
-        good = materialize(confirm(pairs, texts, shingle, percent), "links")
-        discard(pairs)
-        return good
-
-    sizes = members.groupBy("key").agg(F.count("*").alias("n"))
-    small = members.join(sizes.where(F.col("n") <= SMALL).select("key"), "key", "left_semi")
-    links = confirmed(small.join(other(small), "key").where(F.col("doc_id") < F.col("doc_id2")))
-    crowded = materialize(members.join(sizes.where(F.col("n") > SMALL).select("key"), "key", "left_semi"), "members")
-    discard(members)
-    members = crowded
-    for k in range(LEADER_ROUNDS + 1):
-        if members.isEmpty():
-            break
+    other = lambda df: df.select("key", *(F.col(c).alias(f"{c}2") for c in ("doc_id", "size", "sig")))
+    large = materialize(members.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > SMALL).select("key"), "large")
+    small, crowded = members.join(checked(large), "key", "left_anti"), members.join(checked(large), "key", "left_semi")
+    heads = crowded.groupBy("key").agg(F.min(F.struct(F.xxhash64("doc_id").alias("h"), "doc_id", "size", "sig")).alias("h")).select("key", "h.doc_id", "h.size", "h.sig")
+    met = small.join(other(small), "key").where(F.col("doc_id") < F.col("doc_id2")).unionByName(crowded.join(other(heads), "key").where(F.col("doc_id") != F.col("doc_id2")))
+    met = met.where(sizes_fit & (estimate(F.col("sig"), F.col("sig2"), n) >= floor))
+    # the head of a bucket comes as doc_id2: its text then serves all its members
+    pairs = materialize(met.select(F.col("doc_id2").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
+    links = materialize(confirm(pairs, texts, shingle, percent), "links")
+    discard(pairs)
+    if not large.isEmpty():
         found = materialize(components(links), "components")
-        now = members.drop("component").join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        now = materialize(now.select("key", "doc_id", "size", "sig", "component"), "members")
-        left = materialize(now.join(_apart(now).select("key"), "key", "left_semi"), "members")
-        discard(members, found, now)
-        members = left
-        if members.isEmpty():
-            break
-        if k < LEADER_ROUNDS:
-            heads = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("doc_id", F.lit(k)).alias("h"), "doc_id", "size", "sig", "component")).alias("h"))
-            new = confirmed(members.join(other(heads.select("key", "h.doc_id", "h.size", "h.sig", "h.component")), "key"))
-        else:
-            wanted = materialize(members.select("doc_id").distinct(), "ids")
-            sets = materialize(shingle_table(texts.join(checked(wanted), "doc_id", "left_semi"), shingle), "shingles")
-            apart = materialize(tile_join(members.select("key", "doc_id", "component", "size"), sets, percent), "tiles")
-            discard(sets, wanted)
-            new = materialize(confirm(apart.distinct(), texts, shingle, percent), "links")
-        links = materialize(links.unionByName(new), "links")
+        now = crowded.select("key", "doc_id", "size").join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        now = materialize(now.select("key", "doc_id", "component", "size"), "members")
+        open_ = materialize(_apart(now), "open")
+        apart = now.join(checked(open_), "key", "left_semi")
+        wanted = materialize(apart.select("doc_id").distinct(), "ids")
+        sets = materialize(shingle_table(texts.join(checked(wanted), "doc_id", "left_semi"), shingle), "shingles")
+        more = materialize(tile_join(apart, sets, percent).distinct(), "tiles")
+        discard(sets, wanted, now, open_, found)
+        links = links.unionByName(materialize(confirm(more, texts, shingle, percent), "links"))
+    discard(members, large)
     edges = member.where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).unionByName(links)
     found = materialize(components(edges), "components")
     return every.select("doc_id", "n_shingles").join(found, F.col("doc_id") == F.col("id"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
@@ -255,14 +241,15 @@ def link(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
 
 def drop_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """docs, all columns, without those whose component has a smaller doc_id; repeated rows of a kept id stay one."""
+    gone_id, rank = (f"_{name}_{uuid.uuid4().hex}" for name in ("gone", "rank"))  # no column of docs can have these names
     linked = link(docs.select("doc_id", "text"), shingle, percent)
-    gone = materialize(linked.where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    kept = docs.join(checked(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = materialize(linked.where("doc_id != component_id").select(F.col("doc_id").alias(gone_id)).distinct(), "gone")
+    kept = docs.join(checked(gone), F.col("doc_id") == F.col(gone_id), "left_anti")
     # a repeated id is one document
-    if kept.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
+    if kept.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         return kept
-    ranked = kept.withColumn("_rank", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
-    return ranked.where("_rank = 1 OR doc_id IS NULL").drop("_rank")
+    ranked = kept.withColumn(rank, F.row_number().over(Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy("text")))
+    return ranked.where((F.col(rank) == 1) | F.col("doc_id").isNull()).drop(rank)
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

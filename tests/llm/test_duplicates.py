@@ -52,7 +52,6 @@ def test_components_of_near_copies(spark):
 def test_crowded_buckets_lose_no_link(spark, monkeypatch):
     """One family of texts that share most of their words, in tiles of a few members."""
     monkeypatch.setattr(tiles, "TILE_MEMBERS", 7)
-    monkeypatch.setattr(minhash, "LEADER_ROUNDS", 1)
     monkeypatch.setattr(minhash, "SMALL", 2)
     texts = dict(enumerate(near_copies(11, groups=2, size=60, words=60)))
     _, pairs = brute_links(texts, 3, 85)
