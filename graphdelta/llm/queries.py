@@ -15,7 +15,7 @@ from graphdelta.llm.range_join import OP7_SQL, op7_range_join
 from graphdelta.llm.secrets import op4_secrets
 from graphdelta.llm.token_files import op6_token_files
 from graphdelta.llm.toxicity import op3_toxicity
-from graphdelta.llm.url_filter import op1_url_filter
+from graphdelta.llm.url_filter import OP1_SQL, op1_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -35,6 +35,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_url_filter": OP1_SQL,
         "op5_minhash": OP5_SQL,
         "op7_range_join": OP7_SQL,
     }

@@ -142,3 +142,29 @@ def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, damping: floa
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
+
+
+#: One step of both walks is a sum over weighted flows; the host chr(0) holds 1 and hands out the seeds.
+OP1_SQL = r"""
+WITH RECURSIVE rules(host, path, rule, verdict) AS (VALUES ('org', '/', 'org/', 'allow'), ('example.org', '/es/', 'example.org/es/', 'block'), ('example.org', '/en/1', 'example.org/en/1', 'block'), ('com', '/fr/', 'com/fr/', 'allow'), ('com', '/de/', 'com/de/', 'block')),
+u AS (SELECT row_number() OVER () AS n, page_id, coalesce(html, '') AS html, coalesce(url, '') AS url FROM pages),
+r AS (SELECT n, page_id, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM u),
+h AS (SELECT n, page_id, html, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+best AS (SELECT n, rule, verdict FROM h JOIN rules ON (h.host = rules.host OR ends_with(h.host, '.' || rules.host)) AND starts_with(h.path, rules.path)
+  QUALIFY row_number() OVER (PARTITION BY n ORDER BY length(rule) DESC, verdict DESC, rule) = 1),
+judged AS (SELECT h.*, best.rule, best.verdict FROM h LEFT JOIN best USING (n)),
+links AS (SELECT DISTINCT n, host AS src, translate(unnest(regexp_extract_all(html, '(?i)href\s*=\s*[\x22\x27]?(?:https?:)?//([^/?#\x22\x27\s<>]+)', 1)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst FROM h WHERE host <> ''),
+edges AS (SELECT src, dst, count(*)::DOUBLE AS w FROM links WHERE src <> dst GROUP BY src, dst),
+shares AS (SELECT host, avg((verdict IS NOT DISTINCT FROM 'allow')::INT) AS allow, avg((verdict IS NOT DISTINCT FROM 'block')::INT) AS block FROM judged WHERE host <> '' GROUP BY host),
+everyone AS (SELECT host FROM shares UNION SELECT src FROM edges UNION SELECT dst FROM edges),
+seeds AS (SELECT host, 't' AS kind, coalesce(allow, 0) / coalesce(nullif((SELECT sum(allow) FROM shares), 0), 1) AS v FROM everyone LEFT JOIN shares USING (host)
+  UNION ALL SELECT host, 'd', coalesce(block, 0) / coalesce(nullif((SELECT sum(block) FROM shares), 0), 1) FROM everyone LEFT JOIN shares USING (host)),
+flow AS (SELECT src, dst, 't' AS kind, 0.85::DOUBLE * w / sum(w) OVER (PARTITION BY src) AS w FROM edges UNION ALL SELECT dst, src, 'd', 0.85::DOUBLE * w / sum(w) OVER (PARTITION BY dst) FROM edges
+  UNION ALL SELECT chr(0), host, kind, 0.15::DOUBLE * v FROM seeds UNION ALL SELECT chr(0), chr(0), kind, 1::DOUBLE FROM (VALUES ('t'), ('d')) x(kind)),
+walk AS (SELECT 0 AS k, host, kind, v::DOUBLE AS v FROM seeds UNION ALL SELECT 0, chr(0), kind, 1::DOUBLE FROM (VALUES ('t'), ('d')) x(kind)
+  UNION ALL SELECT w.k + 1, f.dst, f.kind, sum(w.v * f.w) FROM walk w JOIN flow f ON f.kind = w.kind AND f.src = w.host WHERE w.k < 20 GROUP BY w.k, f.dst, f.kind),
+ranks AS (SELECT host, kind, v / coalesce(nullif(sum(v) OVER (PARTITION BY kind), 0), 1) AS v FROM walk WHERE k = 20 AND host <> chr(0)),
+scores AS (SELECT t.host, t.v AS trust, d.v AS distrust FROM ranks t JOIN ranks d ON d.host = t.host AND d.kind = 'd' WHERE t.kind = 't')
+SELECT page_id, j.host, path, rule, coalesce(verdict, CASE WHEN coalesce(round(distrust / nullif(trust + distrust, 0), 9), 0) > 0.75 THEN 'block' ELSE 'allow' END) AS verdict, round(trust, 9) AS trust, round(distrust, 9) AS distrust
+FROM judged j LEFT JOIN scores s ON s.host = j.host
+"""

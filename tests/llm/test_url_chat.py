@@ -133,3 +133,24 @@ def test_chat_query(spark):
     rows += [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
     got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat_format.op10_chat_format(spark, SF).collect()}
     assert got == {c: brute_digest([x[1:] for x in rows if x[0] == c]) for c in {x[0] for x in rows}}
+
+
+def test_sql_twin_on_a_linked_graph(spark, tmp_path):
+    import random
+
+    import duckdb
+
+    rng = random.Random(8)
+    hosts = ["good.org", "a.good.org", "bad.com", "m.net", "n.net", "spam.net", "x.io"]
+    rows = [(f"http://{rng.choice(hosts)}/{rng.choice(['de', 'fr', 'x', 'es'])}/{i}", "".join(f"<a HREF='//{rng.choice(hosts).upper()}/p'>t</a>" for _ in range(rng.randrange(4)))) for i in range(120)]
+    pages(spark, [*rows, (None, None)]).coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    found = con.execute(url_filter.OP1_SQL)
+    names = [x[0] for x in found.description]
+    want = sorted((dict(zip(names, r, strict=True)) for r in found.fetchall()), key=lambda r: r["page_id"])
+    got = sorted((r.asDict() for r in url_filter.op1_url_filter(spark, str(tmp_path)).collect()), key=lambda r: r["page_id"])
+    assert len({r["verdict"] for r in got if r["rule"] is None}) == 2
+    for a, b in zip(got, want, strict=True):
+        assert {k: a[k] for k in ("page_id", "host", "path", "rule", "verdict")} == {k: b[k] for k in ("page_id", "host", "path", "rule", "verdict")}
+        assert all(abs((a[k] or 0) - (b[k] or 0)) < 2e-9 for k in ("trust", "distrust"))
