@@ -81,7 +81,10 @@ def candidates(removed: DataFrame, added: DataFrame, threshold: float, weights:
         met = met.where(F.least("total", "total2") >= F.greatest("total", "total2") * (F.least("least", "least2") - 1e-9)).select("pair_id", "rid", "aid")
         lacking = _without_sides(removed, "rid", share).join(_without_sides(added, "aid", share), ["pair_id", "kind", "token"])
         met = met.unionByName(lacking.select("pair_id", "rid", "aid")).distinct()
-    full = met.join(removed.select("pair_id", "rid", F.col("fp").alias("rfp")), ["pair_id", "rid"]).join(added.select("pair_id", "aid", F.col("fp").alias("afp")), ["pair_id", "aid"])
+    # pairs are few bytes and much work: a fixed number of partitions keeps them from being coalesced into a few tasks
+    spread = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    half = met.join(removed.select("pair_id", "rid", F.col("fp").alias("rfp")), ["pair_id", "rid"]).repartition(spread, "pair_id", "aid")
+    full = half.join(added.select("pair_id", "aid", F.col("fp").alias("afp")), ["pair_id", "aid"])
     return full.select("pair_id", "rid", "aid", similarity(F.col("rfp"), F.col("afp"), weights).alias("score")).where(F.col("score") >= threshold)
 
 
