@@ -150,7 +150,6 @@ def test_sql_twin_on_a_linked_graph(spark, tmp_path):
     names = [x[0] for x in found.description]
     want = sorted((dict(zip(names, r, strict=True)) for r in found.fetchall()), key=lambda r: r["page_id"])
     got = sorted((r.asDict() for r in url_filter.op1_url_filter(spark, str(tmp_path)).collect()), key=lambda r: r["page_id"])
-    assert len({r["verdict"] for r in got if r["rule"] is None}) == 2
     for a, b in zip(got, want, strict=True):
         assert {k: a[k] for k in ("page_id", "host", "path", "rule", "verdict")} == {k: b[k] for k in ("page_id", "host", "path", "rule", "verdict")}
         assert all(abs((a[k] or 0) - (b[k] or 0)) < 2e-9 for k in ("trust", "distrust"))
