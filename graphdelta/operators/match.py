@@ -64,6 +64,24 @@ def _without_sides(df: DataFrame, name: str, share: float) -> DataFrame:
     return df.select("pair_id", "kind", name, F.explode(lacks).alias("token"))
 
 
+def _likely(met: DataFrame, removed: DataFrame, added: DataFrame, least: float) -> DataFrame:
+    """Pairs whose J + MJ can reach `least`: MJ is at most the ratio of the totals, and J is bounded by the ratio of the sizes, then
+    by hashes of the members. Arrays of numbers are light to send and to intersect; one more common member than was counted
+    allows for two members of one hash."""
+    def light(df: DataFrame, name: str, p: str) -> DataFrame:
+        total = F.aggregate("fp.field_types", F.lit(0), lambda s, e: s + e["n"])
+        return df.select("pair_id", name, F.transform("fp.members", lambda m: F.xxhash64(m)).alias(f"{p}h"), F.size("fp.members").alias(f"{p}m"), total.alias(f"{p}t"))
+
+    # pairs are few bytes and much work: a fixed number of partitions keeps them from being coalesced into a few tasks
+    spread = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = met.join(light(removed, "rid", "r"), ["pair_id", "rid"]).repartition(spread, "pair_id", "aid").join(light(added, "aid", "a"), ["pair_id", "aid"])
+    ratio = lambda x, y: F.when(F.greatest(x, y) == 0, 1.0).otherwise(F.least(x, y) / F.greatest(x, y, F.lit(1)))
+    common = F.size(F.array_intersect("rh", "ah")) + 1
+    bound = F.when(F.col("rm") + F.col("am") == 0, 1.0).otherwise(common / F.greatest(F.col("rm") + F.col("am") - common, F.lit(1)))
+    kept = both.where(ratio("rm", "am") + ratio("rt", "at") >= least - 1e-9).where(bound + ratio("rt", "at") >= least - 1e-9)
+    return materialize(kept.select("pair_id", "rid", "aid"))
+
+
 def candidates(removed: DataFrame, added: DataFrame, threshold: float, weights: Weights = DEFAULT) -> DataFrame:
     """pair_id, rid, aid, score of all pairs of one kind with a score of at least the threshold."""
     share = (threshold - 0.2) / 0.4 / 2
@@ -80,11 +98,8 @@ def candidates(removed: DataFrame, added: DataFrame, threshold: float, weights:
         met = x.join(y, ["pair_id", "kind", "side", "token"])
         met = met.where(F.least("total", "total2") >= F.greatest("total", "total2") * (F.least("least", "least2") - 1e-9)).select("pair_id", "rid", "aid")
         lacking = _without_sides(removed, "rid", share).join(_without_sides(added, "aid", share), ["pair_id", "kind", "token"])
-        met = met.unionByName(lacking.select("pair_id", "rid", "aid")).distinct()
-    # pairs are few bytes and much work: a fixed number of partitions keeps them from being coalesced into a few tasks
-    spread = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    half = met.join(removed.select("pair_id", "rid", F.col("fp").alias("rfp")), ["pair_id", "rid"]).repartition(spread, "pair_id", "aid")
-    full = half.join(added.select("pair_id", "aid", F.col("fp").alias("afp")), ["pair_id", "aid"])
+        met = _likely(met.unionByName(lacking.select("pair_id", "rid", "aid")).distinct(), removed, added, 2 * share)
+    full = met.join(removed.select("pair_id", "rid", F.col("fp").alias("rfp")), ["pair_id", "rid"]).join(added.select("pair_id", "aid", F.col("fp").alias("afp")), ["pair_id", "aid"])
     return full.select("pair_id", "rid", "aid", similarity(F.col("rfp"), F.col("afp"), weights).alias("score")).where(F.col("score") >= threshold)
 
 
