@@ -10,8 +10,8 @@ in Spark.
 P is shared: a word that neither class knows well gets about the same probability from both, so rare words weigh little.
 The word log ratios of a text are centred on their median, which its language shifts as a whole (by at most SHIFT: a text of
 evidence alone must not be centred away); those under CLEAR are taken as 0. The score is a logistic curve over their sum divided by the text's length (PRIOR_WORDS more), fitted on a
-bounded sample of training rows that were left out of the counts (at most `calibrate` rows, by hash). A class model over
-pairs above P_c was tried and made held-out results worse (see README), so pairs only feed the shared counts.
+bounded sample of training rows that were left out of the counts (at most `calibrate` rows, by hash). Pairs feed the
+shared counts alone: a class model over pairs above P_c is left out.
 
 Cases: a null or empty text has no words and gets the curve's value at 0, below 0.5; a null doc_id counts as empty text
 in the fold; repeated doc_ids each get their row; labels without a document, or null ones, are ignored, of contradictory
