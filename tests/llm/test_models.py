@@ -106,6 +106,37 @@ def test_quality_counts_are_those_of_brute_force(spark):
     assert np.allclose(ratio.weight, want)
 
 
+def test_quality_buckets_grow_with_the_features(spark):
+    docs, known = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{SF}/labels.parquet")
+    texts = [(r.text or "").encode() for r in docs.collect()]
+    distinct = len(np.unique(quality.hashes(texts)[0]))
+    ratio = quality.fit(docs, known, least=16)
+    assert len(ratio.weight) == ratio.buckets
+    assert 0.9 * distinct / quality.LOAD <= ratio.buckets <= 2.2 * distinct / quality.LOAD
+    of = {r.doc_id: r.quality for r in known.collect()}
+
+    def dropped(r):
+        rows = quality.judged(docs, r, ["doc_id"]).where(~quality.base_failed()).collect()
+        return [np.mean([x.score < r.threshold for x in rows if of.get(x.doc_id) == k]) for k in (0, 1)]
+
+    bad, good = dropped(ratio)
+    assert bad >= dropped(quality.fit(docs, known))[0] - 0.02
+    assert good <= 0.02
+
+
+def test_quality_joined_weights_score_like_broadcast_ones(spark, monkeypatch):
+    monkeypatch.setattr(quality, "HOT", 50)
+    base = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(300)
+    docs, known = base.unionByName(base.limit(20)).localCheckpoint(), spark.read.parquet(f"{SF}/labels.parquet")
+    here, there = quality.fit(docs, known), quality.fit(docs, known, most=1)
+    assert there.table is not None and len(there.weight) == 50
+    assert abs(here.threshold - there.threshold) < 1e-5
+    a, b = (sorted((r.doc_id, r.n_words, r.score) for r in quality.judged(docs, x, ["doc_id"]).collect()) for x in (here, there))
+    assert len(a) == len(b) == docs.count()
+    assert [x[:2] for x in a] == [x[:2] for x in b]
+    assert np.allclose([x[2] for x in a], [x[2] for x in b], atol=1e-5)
+
+
 def test_quality_cases(spark):
     docs = odd(spark, [(0, None), (1, ""), (2, "good " * 3 + "text " * 3), (2, "again"), (3, " ".join(f"w{i}" for i in range(90_000)))])
     known = labels(spark, [(2, None, 0), (77, 1, 0)])
