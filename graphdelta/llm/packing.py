@@ -12,7 +12,8 @@ conflicts, and ends at the first compatible bin.
 
 Cases: a null or empty text has no tokens and gets no window; a null source or cluster conflicts with nothing; repeated rows
 are packed each on its own (with the same source they can't meet in a bin); an empty table gives no rows; columns beyond
-those named are ignored. A hot source or cluster needs a bin for each of its rests: that is the constraint, not a loss.
+those named are ignored. Clusters of op2_packing are components of near copies (with_near_clusters); the pipeline's stage,
+whose input has lost its near copies, takes exact ones (with_lengths). A hot source or cluster needs a bin for each of its rests: that is the constraint, not a loss.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphdelta.llm import minhash
 from graphdelta.llm._common import binary_values, materialize, ship, table
 
 CAPACITY, GROUP = 2048, 8192
@@ -148,5 +150,15 @@ def with_lengths(docs: DataFrame) -> DataFrame:
     return own.mapInArrow(run, "doc_id long, n_tokens long, source string, cluster string")
 
 
+def with_near_clusters(docs: DataFrame) -> DataFrame:
+    """The columns of with_lengths, but cluster is the component of near copies: shingles of five words, a similarity of 0.8.
+    Rows are linked by a number of their own, so that rows of a null or repeated doc_id are each compared by their text."""
+    rows = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text").withColumn("_row", F.monotonically_increasing_id()), "rows")
+    own = rows.select(F.col("_row").alias("doc_id"), "source", "text")
+    linked = minhash.link(own.select("doc_id", "text"), 5, 80).select("doc_id", F.col("component_id").cast("string").alias("cluster"))
+    lengths = with_lengths(own).drop("cluster").join(linked, "doc_id").withColumnRenamed("doc_id", "_row")
+    return lengths.join(rows.select("_row", "doc_id"), "_row").select("doc_id", "n_tokens", "source", "cluster")
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(with_lengths(table(spark, sf_dir, "documents")))
+    return pack(with_near_clusters(table(spark, sf_dir, "documents")))

@@ -189,6 +189,19 @@ def test_packing_query_holds_every_word(spark):
         assert all(b[0] == a[0] + a[1] for a, b in zip(sorted(held.get(i, [])), sorted(held.get(i, []))[1:], strict=False))
 
 
+def test_near_copies_of_different_sources_share_no_bin(spark, tmp_path):
+    text = " ".join(f"word{i}" for i in range(60))
+    rows = [(0, text, "a"), (1, text + " tail", "b"), (2, "Head " + text, "c"), (3, " ".join(f"other{i}" for i in range(60)), "d"), (None, text + " end", "e"), (5, "one two three four five six", "f"), (5, text + " last", "g")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = packing.op2_packing(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    lengths = {61, 60}
+    near = [r.bin_id for r in got if r.n_tokens in lengths and r.doc_id != 3]
+    assert len(near) == 5
+    assert len(set(near)) == 5
+    assert len({r.bin_id for r in got}) == 5  # what is no near copy is packed with the others
+
+
 # ---- pipeline --------------------------------------------------------------------------------------------------------------------
 
 
