@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,6 +13,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Words of the contracts: runs of characters other than ASCII white space. bytes.split() cuts the same way.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -20,9 +22,12 @@ _REPO = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local one if the master is local
+    (tests), else an error: executors of a cluster would each write to their own disk."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), f"graphdelta-shared-{os.getpid()}")
     return found.rstrip("/")
 
@@ -67,7 +72,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def fold(col: Column | str, folds: int = 5) -> Column:
     """crc32 of the id as text, modulo folds; a null id counts as empty text."""
-    return F.pmod(F.crc32(F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit("")).cast("string").cast("binary")), F.lit(folds)).cast("int")
+    text = F.coalesce((F.col(col) if isinstance(col, str) else col).cast("string"), F.lit(""))  # cast first: '' is no number
+    return F.pmod(F.crc32(text.cast("binary")), F.lit(folds)).cast("int")
 
 
 def label_rows(labels: DataFrame, value: str) -> DataFrame:
@@ -81,8 +87,9 @@ BROADCAST_ROWS = 1_000_000
 
 
 def checked(ids: DataFrame) -> DataFrame:
-    """A narrow table, marked for broadcast if it has few rows: their number is counted first."""
-    return F.broadcast(ids) if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ids
+    """A narrow table, marked for broadcast if it has few rows: their number is counted first, in partial sums (a limit would
+    gather rows of every partition in one task)."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
 
 
 def join_labels(docs: DataFrame, known: DataFrame, how: str = "inner") -> DataFrame:
@@ -140,6 +147,39 @@ def binary_values(column) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()] if column.type not in (pa.binary(), pa.large_binary()) else [x or b"" for x in column.to_pylist()]
 
 
+def extended(df: DataFrame, columns: list[str], added: str) -> StructType:
+    """The schema of some columns of df, of whatever types and field names, followed by the added ones (DDL)."""
+    return StructType([*(df.schema[c] for c in columns), *StructType.fromDDL(added).fields])
+
+
+def text_keys(texts: list[bytes]) -> list[bytes]:
+    return [xxhash.xxh3_128_digest(t) for t in texts]
+
+
+def joined_sums(texts: DataFrame, split, weights: DataFrame, default: float) -> DataFrame:
+    """_key (of text_keys) and _rest: per text the sum of weights (b long, w) of those features that split(texts) names, as
+    arrays of text numbers and of features b; a feature without a weight has the default. For weights too many to broadcast:
+    each text gives a row per distinct feature. Copies of a text meet under one key: a row of each with n = 0 counts them, its b
+    taken from the key so that these rows are dealt out too."""
+
+    def run(batches):
+        for batch in batches:
+            own = binary_values(batch.column(0))
+            for lo, hi in in_slices([len(t) for t in own], 4 << 20):
+                keys, (where, at) = text_keys(own[lo:hi]), split(own[lo:hi])
+                order = np.lexsort((at, where))
+                where, at = where[order], at[order]
+                first = np.flatnonzero(np.r_[True, (where[1:] != where[:-1]) | (at[1:] != at[:-1])]) if len(at) else np.zeros(0, np.int64)
+                all_keys = pa.array(keys, pa.binary())
+                yield pa.RecordBatch.from_arrays([all_keys.take(pa.array(where[first])), pa.array(at[first]), pa.array(np.diff(np.r_[first, len(at)]))], names=["_key", "b", "n"])
+                marks = np.array([int.from_bytes(k[:8], "little", signed=True) for k in keys], np.int64)
+                yield pa.RecordBatch.from_arrays([all_keys, pa.array(marks), pa.array(np.zeros(len(keys), np.int64))], names=["_key", "b", "n"])
+
+    rows = texts.select("text").mapInArrow(run, "_key binary, b long, n long").join(weights, "b", "left")
+    value = F.col("n") * F.coalesce(F.col("w").cast("double"), F.lit(float(default)))
+    return rows.groupBy("_key").agg((F.sum(value) / F.count_if(F.col("n") == 0)).alias("_rest"))
+
+
 def in_slices(sizes: list[int], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Runs of rows whose sizes add up to about `most`; a longer row stands alone."""
     start = total = 0

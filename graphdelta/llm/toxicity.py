@@ -1,36 +1,44 @@
 """Toxicity: class-conditional Kneser-Ney models, compared by length-normalised log-likelihood.
 
-A text is its words: bytes lower-cased in ASCII, ASCII punctuation and white space between them. Words hash into 2^20
-buckets, so what is broadcast is bounded whatever the corpus. Counts come from all labelled training rows and are summed
-in Spark.
+A text is its words: bytes lower-cased in ASCII, ASCII punctuation and white space between them; a word is known by 64 bits
+of hash. The class is the context of a word, so that the class models are Kneser-Ney bigrams (class, word):
 
-    P_c(w) = max(n_c(w) - D, 0) / N_c + backoff_c * P(w)        n_c(w) below LEAST counts as 0
-    P(w)   = share of distinct word pairs (v,w), of both classes, that end in w
+    P_c(w) = (max(n_c(w) - D_c, 0) + D_c T_c P(w)) / N_c        D_c = n1 / (n1 + 2 n2) of the class, T_c its distinct words
+    P(w)   = (max(k(w) - D, 0) + D T / V) / sum of k            k(w): in how many classes w occurs (1 or 2); V counts one
+                                                                word more than the T known ones
 
-P is shared: a word that neither class knows well gets about the same probability from both, so rare words weigh little.
-The word log ratios of a text are centred on their median, which its language shifts as a whole (by at most SHIFT: a text of
-evidence alone must not be centred away); those under CLEAR are taken as 0. The score is a logistic curve over their sum divided by the text's length (PRIOR_WORDS more), fitted on a
-bounded sample of training rows that were left out of the counts (at most `calibrate` rows, by hash). Pairs feed the
-shared counts alone: a class model over pairs above P_c is left out.
+P is the shared backoff: a rare word weighs the same there whichever class it was seen in, so that what a class knows of it
+beyond its discount decides. A toxic text takes its words from the toxic model at a rate of SHARE, and from the ordinary one
+else; its log-likelihood less that of the ordinary model, divided by the number of words, is
 
-Cases: a null or empty text has no words and gets the curve's value at 0, below 0.5; a null doc_id counts as empty text
+    ratio = 1 / n * sum over words of log(1 - SHARE + SHARE * P_toxic(w) / P_ordinary(w))
+
+All words count, with either sign, and no count is cut. The score is a logistic curve over the ratio, of which slope and offset are fitted on a
+bounded sample of training rows that were left out of the counts (at most `calibrate` rows, by hash). Counts come from all
+labelled training rows and are summed in Spark. Up to `most` words' weights are broadcast (12 bytes each); of more, the HOT
+most frequent are, and the others are joined to the words of each text.
+
+Cases: a null or empty text has no words and a ratio of 0, which the curve holds below 0.5; a null doc_id counts as empty text
 in the fold; repeated doc_ids each get their row; labels without a document, or null ones, are ignored, of contradictory
-ones the toxic one counts; without training rows of both classes every sum is 0; an empty table gives no rows; columns
-beyond doc_id and text pass through filter_toxic and are ignored else.
+ones the toxic one counts; without training rows of both classes every ratio is 0; an empty table gives no rows; columns
+beyond doc_id and text, of any type, pass through filter_toxic and are ignored else.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphdelta.llm._common import binary_values, fold, in_slices, join_labels, label_rows, mix, ship, table, tuning_rows, word_hashes
+from graphdelta.llm._common import binary_values, extended, fold, in_slices, join_labels, joined_sums, label_rows, materialize, ship, table, text_keys, tuning_rows, word_hashes
 
-WORDS = 1 << 20
-LEAST, DISCOUNT, CLEAR, SHIFT, PRIOR_WORDS, CALIBRATE = 3, 2.5, 2.0, 1.0, 12.0, 20_000
+SHARE, CALIBRATE, MOST, HOT = 0.01, 20_000, 1 << 22, 1 << 20
 FOLDS, HELD_OUT, TUNED = 5, 0, 4
+#: Discounts stay within these bounds, also where a class has no word that occurs once.
+LEAST_D, MOST_D, SHARED_D = 0.05, 0.95, 0.75
 #: ASCII letters in lower case, digits and bytes beyond ASCII stay; all else separates.
 KEEP = bytes(ord(chr(c).lower()) if c < 128 and chr(c).isalnum() else c if c >= 128 else 32 for c in range(256))
 
@@ -39,75 +47,91 @@ def text_words(text: bytes) -> list[bytes]:
     return text.translate(KEEP).split()
 
 
-def encode(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of some texts: the words' numbers, the preceding words' (0 at a start), and each text's number of words."""
+def encode(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Of some texts: the words' hashes as signed numbers, and each text's number of words."""
     lists = [text_words(t) for t in texts]
-    n = np.array([len(x) for x in lists], np.int64)
-    h = word_hashes([w for x in lists for w in x])
-    word = (mix(h) >> np.uint64(44)).astype(np.int32)
-    before = np.empty_like(word)
-    before[1:] = word[:-1]
-    starts = np.cumsum(n) - n
-    before[starts[n > 0]] = 0
-    return word, before, n
+    return word_hashes([w for x in lists for w in x]).view(np.int64), np.array([len(x) for x in lists], np.int64)
 
 
+@dataclass
 class Model:
-    """Per word bucket the log ratio of both classes; and the curve."""
-
-    def __init__(self, counts: np.ndarray, ends: np.ndarray):
-        """counts: of ordinary and of toxic rows; ends: distinct pairs that end in the word."""
-        shared = (ends + 0.5) / (ends.sum() + 0.5 * WORDS)
-        logs = []
-        for n in counts.astype(np.float64):
-            total = max(n.sum(), 1.0)
-            kept = np.where(n >= LEAST, n - DISCOUNT, 0.0) / total
-            logs.append(np.log(kept + (1 - kept.sum()) * shared))
-        self.ratio = (logs[1] - logs[0]).astype(np.float32) if (counts.sum(axis=1) > 0).all() else np.zeros(WORDS, np.float32)
-        self.slope, self.centre = 40.0, 0.02
-
-    def log_ratio(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Sum over the words of clear evidence for the toxic model, and the number of words, per text."""
-        word, _, n = encode(texts)
-        ratio = self.ratio[word].astype(np.float64)
-        out, start = np.zeros(len(n)), 0
-        for i, k in enumerate(n):
-            if k:
-                own = ratio[start : start + k]
-                own = own - np.clip(np.median(own), -SHIFT, SHIFT)
-                out[i] = own[own > CLEAR].sum()
-                start += k
-        return out, n
+    """Weights of words (sorted hashes) and of all others; of all words there are in `table` (b, w), if that is not None."""
+
+    words: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
+    default: float = 0.0
+    slope: float = 40.0
+    centre: float = 0.02
+    table: DataFrame | None = None
+
+    def look_up(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Weights, and which of the words are not held here."""
+        if not len(self.words):
+            return np.full(len(word), self.default), np.ones(len(word), bool)
+        distinct, back = np.unique(word, return_inverse=True)  # so that the search walks the table in order
+        at = np.minimum(np.searchsorted(self.words, distinct), len(self.words) - 1)
+        missing = self.words[at] != distinct
+        return np.where(missing, self.default, self.weights[at])[back], missing[back]
+
+    def log_ratio(self, texts: list[bytes], joined: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Sums of weights and numbers of words of some texts; if joined, words not held here add nothing yet."""
+        word, n = encode(texts)
+        value, missing = self.look_up(word)
+        sums = np.concatenate([[0.0], np.cumsum(np.where(missing, 0.0, value) if joined else value, dtype=np.float64)])
+        ends = np.cumsum(n)
+        return sums[ends] - sums[ends - n], n
+
+    def others(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Text numbers and words of all words that are not held here."""
+        word, n = encode(texts)
+        missing = self.look_up(word)[1]
+        return np.repeat(np.arange(len(n)), n)[missing], word[missing]
 
     def score(self, ratio: np.ndarray, n: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * (ratio / (n + PRIOR_WORDS) - self.centre), -60, 60)))
+        return 1 / (1 + np.exp(-np.clip(self.slope * (ratio / np.maximum(n, 1) - self.centre), -60, 60)))
 
 
-def _count_pairs(batches):
-    schema = pa.schema([("v", pa.int32()), ("w", pa.int32()), ("c0", pa.int64()), ("c1", pa.int64())])
+def _count_words(batches):
     for batch in batches:
         texts, toxic = binary_values(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False)
         for a, b in in_slices([len(t) for t in texts], 8 << 20):
-            word, before, n = encode(texts[a:b])
-            key = (before.astype(np.int64) << 20) | word
-            seen, at = np.unique(key, return_inverse=True)
+            word, n = encode(texts[a:b])
+            seen, at = np.unique(word, return_inverse=True)
             c1 = np.bincount(at, weights=np.repeat(toxic[a:b].astype(np.int64), n), minlength=len(seen)).astype(np.int64)
-            c = np.bincount(at, minlength=len(seen))
-            yield pa.RecordBatch.from_arrays([pa.array((seen >> 20).astype(np.int32)), pa.array((seen & (WORDS - 1)).astype(np.int32)), pa.array(c - c1), pa.array(c1)], schema=schema)
-
-
-def fit(docs: DataFrame, labels: DataFrame, calibrate: int = CALIBRATE) -> Model:
+            yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(np.bincount(at, minlength=len(seen)) - c1), pa.array(c1)], names=["b", "c0", "c1"])
+
+
+def log_weight(counts: dict[str, float], share: float = SHARE) -> tuple[Column, float]:
+    """The weight of a word of counts c0 and c1, and that of a word never seen. counts: of each class k the sum n{k} of all counts, the
+    distinct words t{k}, and how many of them occur once (one{k}) and twice (two{k}); both: words of both classes."""
+    known = counts["t0"] + counts["t1"] - counts["both"]
+    held = counts["t0"] + counts["t1"]
+    floor = SHARED_D * known / (known + 1)
+    shared = lambda k: (F.greatest(k - SHARED_D, F.lit(0.0)) + floor) / held
+    unseen, p, q = floor / held, [], []
+    for k in (0, 1):
+        one, two = counts[f"one{k}"], counts[f"two{k}"]
+        d = min(max(one / (one + 2 * two) if one else 0.0, LEAST_D), MOST_D)
+        back = d * counts[f"t{k}"]
+        p.append((F.greatest(F.col(f"c{k}") - d, F.lit(0.0)) + back * shared((F.col("c0") > 0).cast("int") + (F.col("c1") > 0).cast("int"))) / counts[f"n{k}"])
+        q.append(back * unseen / counts[f"n{k}"])
+    return F.log(1 - share + share * p[1] / p[0]), float(np.log(1 - share + share * q[1] / q[0]))
+
+
+def fit(docs: DataFrame, labels: DataFrame, calibrate: int = CALIBRATE, most: int = MOST, share: float = SHARE) -> Model:
     """Learn from the labelled rows of `docs` (doc_id, text) outside the held-out fold."""
-    spark = docs.sparkSession
-    ship(spark)
+    ship(docs.sparkSession)
     known, own = label_rows(labels, "toxic"), docs.select("doc_id", "text")
     counted = join_labels(own, known.where(~fold("doc_id", FOLDS).isin(HELD_OUT, TUNED))).select("text", "_label")
-    pairs = counted.mapInArrow(_count_pairs, "v int, w int, c0 long, c1 long").groupBy("v", "w").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
-    rows = pairs.groupBy("w").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"), F.count("*").alias("ends")).toArrow()  # at most WORDS rows
-    found = np.zeros((3, WORDS))
-    for k, name in enumerate(("c0", "c1", "ends")):
-        found[k][rows.column("w").to_numpy()] = rows.column(name).to_numpy()
-    model = Model(found[:2], found[2])
+    words = materialize(counted.mapInArrow(_count_words, "b long, c0 long, c1 long").groupBy("b").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")), "words")
+    per = [f(F.col(f"c{k}")).alias(f"{name}{k}") for k in (0, 1) for name, f in (("n", F.sum), ("t", lambda c: F.count_if(c > 0)), ("one", lambda c: F.count_if(c == 1)), ("two", lambda c: F.count_if(c == 2)))]
+    counts = words.agg(*per, F.count_if((F.col("c0") > 0) & (F.col("c1") > 0)).alias("both"), F.count("*").alias("rows")).first().asDict()
+    if not counts["n0"] or not counts["n1"]:
+        return Model()
+    weight, default = log_weight(counts, share)
+    weights = words.select("b", weight.cast("float").alias("w"), (F.col("c0") + F.col("c1")).alias("n"))
+    held = (weights if counts["rows"] <= most else weights.orderBy(F.desc("n"), "b").limit(min(HOT, most))).select("b", "w").toArrow().sort_by("b")
+    model = Model(held.column("b").to_numpy(), held.column("w").to_numpy(), default, table=None if counts["rows"] <= most else weights.select("b", "w"))
     sample = tuning_rows(own, known.where(fold("doc_id", FOLDS) == TUNED), calibrate)
     tuned = log_ratios(sample, model, ["_label"]).select("ratio", "n", "_label").toArrow()
     return calibrated(model, *(tuned.column(k).to_numpy() for k in range(3)))
@@ -116,7 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, calibrate: int = CALIBRATE) -> Model
 def calibrated(model: Model, ratio: np.ndarray, n: np.ndarray, label: np.ndarray) -> Model:
     """A logistic curve over the mean log ratio by Newton's method; its centre is held above 0, so that a text without
     words is ordinary. Too few or one-sided rows leave the default curve."""
-    x, y = ratio / (n + PRIOR_WORDS), label.astype(np.float64)
+    x, y = ratio / np.maximum(n, 1), label.astype(np.float64)
     if len(y) < 20 or y.min() == y.max() or x.std() < 1e-9:
         return model
     scale = float(x.std())
@@ -134,21 +158,29 @@ def calibrated(model: Model, ratio: np.ndarray, n: np.ndarray, label: np.ndarray
 
 
 def log_ratios(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """`keep` columns of docs with ratio (double), n (long) and score."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    fields = [docs.schema[c] for c in keep]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "ratio double", "n long", "score double"])
+    """`keep` columns of docs with ratio (double, the sum over the words), n (long) and score."""
+    joined = model.table is not None
+    here = Model(model.words, model.weights, model.default, model.slope, model.centre)
+    shared = docs.sparkSession.sparkContext.broadcast(here)
+    names = [*keep, "ratio", "n", *(["_key"] if joined else ["score"])]
 
     def scored(batches):
         m = shared.value
         for batch in batches:
             texts = binary_values(batch.column(batch.num_columns - 1))
-            parts = [m.log_ratio(texts[a:b]) for a, b in in_slices([len(t) for t in texts], 8 << 20)]
+            parts = [m.log_ratio(texts[a:b], joined) for a, b in in_slices([len(t) for t in texts], 8 << 20)]
             ratio = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0)
             n = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ratio), pa.array(n), pa.array(m.score(ratio, n))], names=[*keep, "ratio", "n", "score"])
-
-    return docs.select(*keep, "text").mapInArrow(scored, schema)
+            last = pa.array(text_keys(texts), pa.binary()) if joined else pa.array(m.score(ratio, n))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ratio), pa.array(n), last], names=names)
+
+    own = docs.select(*keep, "text").mapInArrow(scored, extended(docs, keep, "ratio double, n long, _key binary" if joined else "ratio double, n long, score double"))
+    if not joined:
+        return own
+    rest = joined_sums(docs, lambda texts: shared.value.others(texts), model.table, model.default)
+    own = own.join(rest, "_key", "left").withColumn("ratio", F.col("ratio") + F.coalesce("_rest", F.lit(0.0)))
+    z = model.slope * (F.col("ratio") / F.greatest("n", F.lit(1)) - model.centre)
+    return own.withColumn("score", 1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-60.0)), F.lit(60.0))))).drop("_key", "_rest")
 
 
 def filter_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:

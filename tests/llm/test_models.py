@@ -1,7 +1,9 @@
+import math
 import re
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 from tables import documents, odd
 
 from graphdelta.llm import quality, secrets, toxicity
@@ -46,6 +48,69 @@ def test_labels_of_the_held_out_fold_are_not_read(spark):
     assert all((s >= 0.5) == (i % 4 == 0) for i, s in scores[0])
 
 
+def brute_kneser_ney(rows, word, share):
+    """log(1 - share + share * P_1(word) / P_0(word)) of (words, class) rows, counted naively."""
+    classes = [[w for words, c in rows if c == k for w in words] for k in (0, 1)]
+    known = {w for words, _ in rows for w in words}
+    held = sum(len(set(c)) for c in classes)
+
+    def shared(w):
+        k = sum(w in c for c in classes)
+        return (max(k - 0.75, 0) + 0.75 * len(known) / (len(known) + 1)) / held
+
+    p = []
+    for own in classes:
+        times = [own.count(w) for w in set(own)]
+        one, two = times.count(1), times.count(2)
+        d = min(max(one / (one + 2 * two) if one else 0, 0.05), 0.95)
+        p.append((max(own.count(word) - d, 0) + d * len(set(own)) * shared(word)) / len(own))
+    return math.log(1 - share + share * p[1] / p[0]), p, shared
+
+
+def test_kneser_ney_is_that_of_brute_force(spark):
+    texts = ["a b c a d e f", "a a b g h", "vile a slur b vile", "c d slur slur new", "e f g filth vile", "a c c q"]
+    ids = [i for i in range(200) if bucket(i) not in (toxicity.HELD_OUT, toxicity.TUNED)][: len(texts)]
+    toxic = [0, 0, 1, 1, 1, 0]
+    docs = documents(spark, list(zip(ids, texts, strict=True))).select("doc_id", "text")
+    model = toxicity.fit(docs, labels(spark, [(i, 1, t) for i, t in zip(ids, toxic, strict=True)]))
+    rows = [(t.split(), k) for t, k in zip(texts, toxic, strict=True)]
+    words = sorted({w for t in texts for w in t.split()} | {"unheard"})
+    for w in words:
+        want, p, _ = brute_kneser_ney(rows, w, toxicity.SHARE)
+        assert abs(model.log_ratio([w.encode()])[0][0] - want) < 1e-6, w
+    for k in (0, 1):  # a probability: all known words and one unknown add up to 1
+        assert abs(sum(brute_kneser_ney(rows, w, 0.5)[1][k] for w in words) - 1) < 1e-9
+
+
+def test_joined_toxicity_weights_score_like_broadcast_ones(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "HOT", 40)
+    base = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(300)
+    docs, known = base.unionByName(base.limit(20)).cache(), spark.read.parquet(f"{SF}/labels.parquet")
+    here, there = toxicity.fit(docs, known), toxicity.fit(docs, known, most=40)
+    assert there.table is not None and len(there.words) == 40 and len(here.words) > 1000
+    a, b = (sorted((r.doc_id, r.n, r.ratio, r.score) for r in toxicity.log_ratios(docs, m, ["doc_id"]).collect()) for m in (here, there))
+    assert len(a) == len(b) == docs.count()
+    assert [x[:2] for x in a] == [x[:2] for x in b]
+    assert np.allclose([x[2:] for x in a], [x[2:] for x in b], atol=1e-4)
+
+
+def test_toxicity_query_on_odd_tables(spark, tmp_path):
+    rows = [(None, "idiot"), (None, None), (0, ""), (1, "x"), (1, "x"), (2, None), *((i, "vile slur " * 9 if i % 3 == 0 else "calm words " * 9) for i in range(3, 90))]
+    documents(spark, rows).withColumn("odd", F.struct(F.lit(1).alias("a b"), F.lit("x").alias("c`d"))).write.parquet(f"{tmp_path}/some/documents.parquet")
+    labels(spark, [(i, 1, int(i % 3 == 0)) for i in range(3, 90)] + [(None, 1, 1), (3, None, None), (500, 0, 1)]).write.parquet(f"{tmp_path}/some/labels.parquet")
+    got = toxicity.op3_toxicity(spark, f"{tmp_path}/some").collect()
+    assert len(got) == len(rows)
+    assert all(r.held_out == (zlib.crc32(str("" if r.doc_id is None else r.doc_id).encode()) % 5 == 0) for r in got)
+    assert all(r.predicted == (r.doc_id is not None and r.doc_id > 2 and r.doc_id % 3 == 0) for r in got if r.doc_id is not None)
+    docs = spark.read.parquet(f"{tmp_path}/some/documents.parquet")
+    kept = toxicity.filter_toxic(docs, spark.read.parquet(f"{tmp_path}/some/labels.parquet"))
+    assert kept.schema == docs.schema
+    assert kept.count() == len(rows) - 29
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{tmp_path}/some/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/none/{name}.parquet")
+    assert toxicity.op3_toxicity(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_toxicity_cases(spark):
     docs = odd(spark, [(0, None), (1, ""), (2, "a b"), (2, "a b"), (None, "x"), (3, "w " * 60_000)])
     known = labels(spark, [(2, 1, None), (None, 1, 1), (99, 1, 1)])
@@ -127,7 +192,7 @@ def test_quality_buckets_grow_with_the_features(spark):
 def test_quality_joined_weights_score_like_broadcast_ones(spark, monkeypatch):
     monkeypatch.setattr(quality, "HOT", 50)
     base = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(300)
-    docs, known = base.unionByName(base.limit(20)).localCheckpoint(), spark.read.parquet(f"{SF}/labels.parquet")
+    docs, known = base.unionByName(base.limit(20)).cache(), spark.read.parquet(f"{SF}/labels.parquet")
     here, there = quality.fit(docs, known), quality.fit(docs, known, most=1)
     assert there.table is not None and len(there.weight) == 50
     assert abs(here.threshold - there.threshold) < 1e-5
