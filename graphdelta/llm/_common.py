@@ -92,6 +92,22 @@ def checked(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
 
 
+#: A key is hot beyond so many rows, or beyond more where that many keys could be too many to broadcast.
+HOT_ROWS = 1000
+
+
+def hub_join(rows: DataFrame, side: DataFrame, keys: list[str], times: str, total: int) -> DataFrame:
+    """rows joined with side (inner) on keys, of which some may have a large share of the rows. side: one row per key; `times`: how
+    many rows have it; total: of all rows, or more. Keys of more than HOT_ROWS rows and of more than total / BROADCAST_ROWS are
+    BROADCAST_ROWS at most, so these are broadcast; the others are joined by a shuffle, in which no key has more rows."""
+    hot = max(HOT_ROWS, total // BROADCAST_ROWS)
+    few = F.broadcast(side.where(F.col(times) > hot).drop(times).withColumn("_hot", F.lit(True)))
+    values = [c for c in side.columns if c not in (*keys, times)]
+    marked = rows.join(few, keys, "left")
+    rest = marked.where("_hot IS NULL").drop("_hot", *values).join(side.where(F.col(times) <= hot).drop(times), keys)
+    return marked.where("_hot").drop("_hot").unionByName(rest)
+
+
 def join_labels(docs: DataFrame, known: DataFrame, how: str = "inner") -> DataFrame:
     """docs with the _label of label_rows()."""
     return docs.join(checked(known), "doc_id", how)

@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tables import documents, odd, union
 
-from graphdelta.llm import components, minhash, range_join, tiles
+from graphdelta.llm import _common, components, minhash, range_join, tiles
 
 SF = "/root/testdata/sf0.001"
 
@@ -127,17 +127,43 @@ def vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("unit", F.lit(1)).withColumn("rep", F.lit(2))
 
 
-def test_range_join_in_many_cells_and_tiles(spark, monkeypatch):
-    for name, value in (("PER_CELL", 12), ("TILE", 9)):
-        monkeypatch.setattr(range_join, name, value)
+def test_range_join_in_many_cells_and_tiles(spark):
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(14, 6))
     rows = [(i, (centres[rng.integers(14)] + rng.normal(size=6) * rng.choice([0.05, 0.35])).astype(np.float32).tolist()) for i in range(160)]
     n, want = brute_cosine(rows, 0.9)
-    got = {r.vec_id: (r.n_links, r.component_id) for r in range_join.link(vectors(spark, rows)).collect()}
+    got = {r.vec_id: (r.n_links, r.component_id) for r in range_join.link(vectors(spark, rows), per_cell=12, tile=9).collect()}
     assert got == {i: (n[i], want[i]) for i, _ in rows}
 
 
+def test_range_join_prunes_pairs_of_tiles(spark, tmp_path):
+    """Where vectors have near pivots, most pairs of tiles are not dealt out, and none that holds a link is missing."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(40, 24))
+    x = centres[rng.integers(40, size=1200)] + 0.1 * rng.normal(size=(1200, 24))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    reps = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "rep long, unit array<double>, copies long")
+    found, _ = range_join.tiles_of(reps, x[:60], math.acos(0.9), 10, f"{tmp_path}/tiles")
+    n, pairs = found.count(), range_join.pairs_of(found)
+    assert pairs.count() < 0.15 * n * (n + 1) / 2
+    home = (x @ x[:60].T).argmax(axis=1)
+    cells = {frozenset((r.p, r.q)) for r in pairs.collect()}
+    a, b = np.nonzero(x @ x.T >= 0.9)
+    assert all(frozenset((int(home[i]), int(home[j]))) in cells for i, j in zip(a, b, strict=True))
+
+
+def test_a_hub_and_a_hot_vector(spark, monkeypatch):
+    """Hot keys go by the broadcast side of hub_join."""
+    monkeypatch.setattr(_common, "HOT_ROWS", 5)
+    rng = np.random.default_rng(5)
+    rows = [(i, [1.0, 0.0, 0.1]) for i in range(40)] + [(i, rng.normal(size=3).tolist()) for i in range(40, 60)]
+    n, want = brute_cosine(rows, 0.9)
+    assert {r.vec_id: (r.n_links, r.component_id) for r in range_join.link(vectors(spark, rows)).collect()} == {i: (n[i], want[i]) for i, _ in rows}
+    edges = [(0, i) for i in range(1, 60)] + [(100 + i, 101 + i) for i in range(20)] + [(59, 200), (200, 201)]
+    got = {r.id: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == union(edges, {x for e in edges for x in e})
+
+
 def test_range_join_cases(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 1.0]), (4, None), (5, []), (6, [0.0, 0.0]), (7, [nan, 1.0]), (8, [inf, 1.0]), (9, [1.0, None]), (10, [1.0, 0.0, 0.0]), (11, [1.0, 0.0]), (12, [1e-30, 0.0])]
