@@ -1,8 +1,10 @@
 import hashlib
+import json
 import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -75,12 +77,27 @@ def test_short_ways_give_the_library_s_ids(words, text):
     assert got == [*words.encode(text, add_special_tokens=False).ids, 2]
 
 
-def test_files_round_trip(spark, words):
-    texts = [(i * 3, t) for i, t in enumerate(TEXTS)] + [(-5, "first"), (None, "null id"), (7, "again b"), (7, "again a")]
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet=st.sampled_from(list("abÉß'.,!# \n\t09😀日")), max_size=30)), max_size=8))
+def test_many_texts_encode_like_each_of_them(texts):
+    enc = token_files.encoder(WORDS, 2)
+    ids, n = enc.encode_many(pa.array(texts, pa.string()))
+    assert ids.tobytes() == b"".join(enc.encode(t or "") for t in texts)
+    assert n.tolist() == [len(enc.encode(t or "")) // enc.width for t in texts]
+
+
+@pytest.mark.parametrize("shard_bytes", [1 << 20, 8])
+def test_files_round_trip(spark, words, monkeypatch, shard_bytes):
+    monkeypatch.setattr(token_files, "LEAST_SHARD_BYTES", shard_bytes)
+    monkeypatch.setattr(token_files, "RANGE_BYTES", 64)
+    texts = [(i * 3, t) for i, t in enumerate(TEXTS)] + [(-5, "first"), (None, "null id"), (None, None), *((7, f"again {k}") for k in "abcdefghij")]
     folder = token_files.write(odd(spark, texts), WORDS)
+    assert (len(json.loads(token_files.read_file(folder, "manifest.json"))["shards"]) > 1) == (shard_bytes == 8)
     rows = token_files.read(spark, folder).collect()
     want, start = [], 0
-    for i, t in sorted(texts, key=lambda x: (x[0] is not None, x[0] or 0, x[1] or "")):
+    h = {r.text: r.h for r in odd(spark, texts).select("text", F.xxhash64("text").alias("h")).collect()}
+    texts.sort(key=lambda x: (x[0] is not None, x[0] or 0, h[x[1]]))
+    for i, t in texts:
         ids = [*words.encode(t or "", add_special_tokens=False).ids, 2]
         want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
@@ -89,11 +106,24 @@ def test_files_round_trip(spark, words):
     for i, t in texts:
         if i is not None and i != 7:
             assert reader[i].tolist() == [*words.encode(t or "", add_special_tokens=False).ids, 2]
-    assert reader[7].tolist()[:-1] == words.encode("again a", add_special_tokens=False).ids
+    assert reader[7].tolist()[:-1] == words.encode(next(t for i, t in texts if i == 7), add_special_tokens=False).ids
     with pytest.raises(KeyError):
         reader[123456]
 
 
+def test_a_broken_index_breaks_the_query(spark):
+    docs = documents(spark, [(i, f"text {i}") for i in range(50)])
+    for what in ("print", "offset"):
+        folder = token_files.write(docs, WORDS)
+        assert token_files.read(spark, folder).count() == 50
+        data = bytearray(token_files.read_file(folder, token_files.index_name(0)))
+        slots = np.frombuffer(data, token_files.SLOT, 50, len(data) - 50 * token_files.SLOT.itemsize)
+        slots[what][17] += 1
+        token_files.write_file(folder, token_files.index_name(0), lambda out: out.write(bytes(data)))  # noqa: B023
+        with pytest.raises(Exception, match="the index"):
+            token_files.read(spark, folder).count()
+
+
 def test_empty_token_table(spark):
     folder = token_files.write(documents(spark, []), WORDS)
     assert token_files.read(spark, folder).count() == 0
