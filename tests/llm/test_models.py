@@ -3,6 +3,8 @@ import re
 import zlib
 
 import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tables import documents, odd
 
@@ -238,15 +240,86 @@ def test_base_spans(spark):
     assert all(r.base == brute_spans(texts[r.doc_id]) for r in secrets.scan(sample).collect())
 
 
-def test_automata_tell_credentials_from_words():
-    scanner = secrets.Scanner()
+def test_automata_tell_credentials_from_words(spark):
+    scanner = secrets.fit(spark.read.parquet(f"{SF}/documents.parquet"))
     fresh = secrets.examples(per_format=40, seed=99)
-    found = np.mean([scanner.likely(v) > scanner.cut for _, v in fresh])
-    ordinary = ["internationalization", "a-very-long-hyphenated-compound-word", "path/to/some/module/file.name", "2024-01-31-12-30-59-000000", "ThisIsAClassNameInCode", "======================", "https_example_com_page_number"]
-    assert found > 0.95
-    assert np.mean([scanner.likely(v) > scanner.cut for v in ordinary]) < 0.2
-    kinds = {name: len(a.logs) for name, a in scanner.automata.items()}
-    assert all(n < 200 for n in kinds.values())  # states were merged
+    assert np.mean(scanner.likely([v for _, v in fresh]) > scanner.cut) > 0.98
+    ordinary = ["internationalization", "a-very-long-hyphenated-compound-word", "path/to/some/module/file.name", "2024-01-31-12-30-59-000000", "ThisIsAClassNameInCode", "======================", "https_example_com_page_number", "192.168.100.200"]
+    assert scanner.best_parts(ordinary) == [[] for _ in ordinary]
+    sizes = {name: len(g.automaton.ends) for name, g in scanner.grammars.items()}
+    assert all(1 < n < 200 for n in sizes.values()), sizes  # states were merged, and not all of them
+    # the tables give what the automata give
+    some = [v for _, v in fresh[::25]] + ["a" * 300, "b/c=d.e-f_g", "12345678"]
+    for v in some:
+        code = [0, *(int(secrets._CODE[ord(c)]) for c in v), 0]
+        ordinary = sum(scanner.background[x, y] for x, y in zip(code, code[1:], strict=False))
+        assert abs(scanner.likely([v])[0] - (max(g.log_likelihood(v) for g in scanner.grammars.values()) - ordinary)) < 1e-6
+
+
+def test_spans_leave_names_and_hosts(spark):
+    scanner = secrets.fit(spark.read.parquet(f"{SF}/documents.parquet"))
+    key = secrets.examples(1, seed=5)[1][1]
+    other = secrets.examples(1, seed=6)[5][1]
+    for text in (f"export GITHUB_PAT={key} x", f"https://x.y/{key}", f"{key}", f"see {key}. Next", f"a={key}/b={other}", f"{key}=={other}"):
+        found = [text[a:b] for a, k, b in scanner.spans([text])[0] if k == 3]
+        assert found == [v for v in (key, other) if v in text], text
+
+
+def brute_alergia(values, alpha=0.05):
+    """States as sets of prefixes: breadth first over the red states' successors, the first compatible red state takes a blue one in."""
+    class State:
+        def __init__(self):
+            self.n, self.end, self.took, self.to = 0, 0, {}, {}
+
+    def grow(values):
+        root = State()
+        for v in values:
+            at = root
+            at.n += 1
+            for s in v:
+                at.took[s] = at.took.get(s, 0) + 1
+                at = at.to.setdefault(s, State())
+                at.n += 1
+            at.end += 1
+        return root
+
+    def far(a, n, b, m):
+        return abs(a / n - b / m) > math.sqrt(0.5 * math.log(2 / alpha)) * (1 / math.sqrt(n) + 1 / math.sqrt(m))
+
+    def same(p, q):
+        if far(p.end, p.n, q.end, q.n) or any(far(p.took.get(s, 0), p.n, q.took.get(s, 0), q.n) for s in {*p.took, *q.took}):
+            return False
+        return all(p.to[s] is q.to[s] or same(p.to[s], q.to[s]) for s in p.to.keys() & q.to.keys())
+
+    def merge(p, q):
+        p.n, p.end = p.n + q.n, p.end + q.end
+        for s, k in q.took.items():
+            p.took[s] = p.took.get(s, 0) + k
+        for s, child in q.to.items():
+            if s in p.to:
+                merge(p.to[s], child)
+            else:
+                p.to[s] = child
+
+    red = [grow(values)]
+    while blue := [(r, s) for r in red for s in sorted(r.to) if not any(r.to[s] is x for x in red)]:
+        r, s = blue[0]
+        child = r.to[s]
+        into = next((x for x in red if same(x, child)), None)
+        if into is None:
+            red.append(child)
+        else:
+            r.to[s] = into
+            merge(into, child)
+    return [(x.took, x.end, {s: next(i for i, y in enumerate(red) if y is c) for s, c in x.to.items()}) for x in red]
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.text(alphabet="ab", max_size=7), min_size=1, max_size=60), st.sampled_from([0.05, 0.5, 0.9]))
+def test_inference_is_that_of_brute_force(values, alpha):
+    got = secrets.infer(values, alpha)
+    want = brute_alergia(values, alpha)
+    assert [(dict(t), e, n) for t, e, n in zip(got.taken, got.ends, got.next, strict=True)] == want
 
 
 def test_redaction(spark):
