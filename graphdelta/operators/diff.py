@@ -6,10 +6,11 @@ one wide table: change, pair_id, before and after (nodes), from_id and to_id (mo
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphdelta.functions.ids import parent
+from graphdelta.operators.ranks import numbered
 from graphdelta.plans.schema import CHANGES, EDGE_KINDS, rank
 
 NODE = ("id", "kind", "file", "start", "end", "attrs", "fp")
@@ -105,9 +106,8 @@ def diff(base: tuple[DataFrame, DataFrame], head: tuple[DataFrame, DataFrame], t
 
 
 def in_order(changes: DataFrame) -> DataFrame:
-    """pos: position of each change within its pair, in the canonical order."""
-    place = Window.partitionBy("pair_id").orderBy(*order_keys())
-    return changes.withColumn("pos", F.row_number().over(place).cast("long"))
+    """pos: position of each change within its pair, in the canonical order. A pair's changes are not sorted in one task."""
+    return numbered(changes, ["pair_id"], order_keys(), "pos")
 
 
 def order_keys() -> list:
@@ -122,7 +122,7 @@ def member_delta(nodes: DataFrame) -> DataFrame:
     b, a = F.coalesce(F.col("before.fp.member_types"), none), F.coalesce(F.col("after.fp.member_types"), none)
     names = lambda x: F.transform(x, lambda e: e["m"])
     has = F.col("before.fp").isNotNull() & F.col("after.fp").isNotNull()
-    of = lambda x: F.when(has, F.array_sort(x)).otherwise(F.array().cast("array<string>"))
+    of = lambda x: F.when(has, F.sort_array(x)).otherwise(F.array().cast("array<string>"))
     old = F.map_from_entries(b)
     retyped = F.filter(a, lambda e: F.map_contains_key(old, e["m"]) & (F.element_at(old, e["m"]) != e["t"]))
     return nodes.withColumns({"added": of(F.array_except(names(a), names(b))), "removed": of(F.array_except(names(b), names(a))), "changed": of(names(retyped))})

@@ -74,7 +74,7 @@ def _cycles(v: Version, rule: str, severity: str, kind: str, node_kind: str, nou
     edges = edges.where(outside)
     parts = strong_components(edges)
     loops = edges.where(F.col("from") == F.col("to")).select("pair_id", F.col("from").alias("component")).distinct()
-    members = parts.groupBy("pair_id", "component").agg(F.array_sort(F.collect_set("id")).alias("ids"))
+    members = parts.groupBy("pair_id", "component").agg(F.sort_array(F.collect_set("id")).alias("ids"))
     members = members.join(loops.withColumn("loop", F.lit(True)), ["pair_id", "component"], "left").where((F.size("ids") > 1) | F.col("loop"))
     if v.config.new_only:
         c = parts.withColumnRenamed("id", "from").withColumnRenamed("component", "cf")

@@ -1,11 +1,15 @@
 """Rename and move detection: a blocked similarity join, then greedy one-to-one assignment without a serial loop.
 
-Candidates are removed and added nodes of one pair and kind. With default weights and no neighbours a score of T needs
-J(members) + MJ(types) >= c with c = (T - 0.2) / 0.4, so one of both is at least c / 2: two nodes meet if they share one of the
-globally rarest members, or types, that a prefix filter for c / 2 keeps. A side that is empty on both nodes counts as 1 and
-leaves c - 1 for the other, so nodes with an empty side also meet by a prefix of the other one. No pair is lost; a pair of
-nodes that meets at all is scored exactly. Other weights, or nodes with neighbours, fall back to the kind as block.
-
+Candidates are removed and added nodes of one pair and kind. A score of T needs, with J(members) and MJ(types) of weights wm and wt,
+wm J + wt MJ >= c with c = T * (sum of weights) - (what neighbours and documentation can add), so J is at least (c - wt) / wm, or
+at least c / (wm + wt), or MJ is at least that: two nodes meet if they share one of the rarest members, or types, that a prefix
+filter for that share keeps, at places that leave enough to share (the positions bound the overlap). A side that is empty on both
+nodes counts as 1 and leaves (c - its weight) / (the other's) for the other, so nodes with an empty side also meet by a prefix of the
+other one. Neighbours count only for nodes that have some: the bound for a node without any takes them as alike. No pair is lost; a
+pair of nodes that meets at all is scored exactly. Only where c <= 0, so that pairs without anything in common reach T, all
+pairs of a kind are the answer's size and the kind is the block.
+
+Tokens and nodes are numbers here (64 bits of hash, row numbers): a hash that two tokens share adds a candidate and loses none.
 Equal fingerprints are paired by rank before candidates are made: a block of them would be quadratic.
 """
 
@@ -15,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphdelta.functions.similarity import DEFAULT, Weights, similarity
+from graphdelta.operators.ranks import numbered
 from graphdelta.operators.scratch import materialize
 
 ROUNDS, FEW_ROUNDS, GROUP_ROWS = 10_000, 5, 200_000
@@ -26,83 +31,109 @@ def _side(nodes: DataFrame, change: str, side: str, name: str) -> DataFrame:
 
 def exact_matches(removed: DataFrame, added: DataFrame) -> DataFrame:
     """Pairs of equal fingerprints (member types and their names aside, which aren't scored), by rank within the class: what
-    greedy would do with scores of 1.0. One window per side, no loop."""
+    greedy would do with scores of 1.0. Classes are keyed by 128 bits of hash; only those of both sides are ranked, a hot one (of
+    empty or boilerplate nodes) in many tasks."""
     scored = lambda fp: F.struct(fp["members"], fp["field_types"], fp["neighbors"], fp["doc_hash"])
 
+    def keyed(df: DataFrame, name: str) -> DataFrame:
+        own = scored(F.col("fp"))
+        return df.select("pair_id", "kind", F.xxhash64(own).alias("h1"), F.xxhash64(F.lit(1), own).alias("h2"), name)
+
+    keys = ["pair_id", "kind", "h1", "h2"]
+    r, a = keyed(removed, "rid"), keyed(added, "aid")
+    both = r.groupBy(*keys).agg(F.count("*").alias("rn")).join(a.groupBy(*keys).agg(F.count("*").alias("an")), keys)
+
     def ranked(df: DataFrame, name: str) -> DataFrame:
-        own = df.select("pair_id", "kind", scored(F.col("fp")).alias("key"), name)
-        return own.withColumn("n", F.row_number().over(Window.partitionBy("pair_id", "kind", "key").orderBy(name)))
+        return numbered(df.join(both.select(*keys), keys, "left_semi"), keys, [name], "n")
 
-    return ranked(removed, "rid").join(ranked(added, "aid"), ["pair_id", "kind", "key", "n"]).select("pair_id", "rid", "aid", F.lit(1.0).alias("score"))
+    return ranked(r, "rid").join(ranked(a, "aid"), [*keys, "n"]).select("pair_id", "rid", "aid", F.lit(1.0).alias("score"))
 
 
-def _blocks(df: DataFrame, name: str, share: float) -> DataFrame:
-    """pair_id, kind, name, side (m or t), token, weight (how often), total: what a node's sides are made of, with the share that
-    the partner must have of it."""
-    member = F.transform("fp.members", lambda m: F.struct(F.lit("m").alias("side"), m.alias("token"), F.lit(1).alias("weight")))
-    kinds = F.transform("fp.field_types", lambda e: F.struct(F.lit("t").alias("side"), e["t"].alias("token"), e["n"].alias("weight")))
-    sizes = df.select("pair_id", "kind", name, F.size("fp.members").alias("m"), F.aggregate("fp.field_types", F.lit(0), lambda s, e: s + e["n"]).alias("t"), F.explode(F.concat(member, kinds)).alias("x"))
-    total = F.when(F.col("x.side") == "m", F.col("m")).otherwise(F.col("t"))
-    other_empty = F.when(F.col("x.side") == "m", F.col("t") == 0).otherwise(F.col("m") == 0)
-    least = F.when(other_empty, F.lit(max(2 * share - 1, 0.0))).otherwise(F.lit(share))
-    return sizes.select("pair_id", "kind", name, "x.side", "x.token", "x.weight", total.alias("total"), least.alias("least"))
+def _needs(threshold: float, w: Weights) -> tuple[float, float, float]:
+    """What J and MJ must add up to, weighted (c); the share that one of both must reach; and c relative to the sum of both weights."""
+    c = threshold * w.total - w.neighbors - w.doc
+    both = w.members + w.field_types
+    return c, (c / both if both > 0 else 0.0), both
 
 
-def _prefix(blocks: DataFrame, seen: DataFrame, name: str) -> DataFrame:
-    """The rarest tokens of each node and side that a partner must share one of."""
-    order = Window.partitionBy("pair_id", "kind", name, "side").orderBy("df", "token")
-    before = F.coalesce(F.sum("weight").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    need = F.greatest(F.col("total") - F.ceil(F.col("total") * (F.col("least") - 1e-9)) + 1, F.lit(1))
-    own = blocks.join(seen, ["pair_id", "kind", "side", "token"]).withColumn("before", before)
-    return own.where((F.col("before") < need) | (F.col("least") <= 0)).select("pair_id", "kind", "side", "token", name, "total", "least")
+def _tokens(nodes: DataFrame, c: float, share: float, w: Weights) -> DataFrame:
+    """node, k (token), weight (how often), m, t (sizes of both sides), own (of the token's side), least (the share that the partner must
+    have of that side)."""
+    k = lambda side, x: F.xxhash64("pair_id", "kind", F.lit(side), x)
+    entry = lambda side, x, n: F.struct(k(side, x).alias("k"), F.lit(side == "m").alias("is_m"), n.alias("weight"))
+    member = F.transform("fp.members", lambda m: entry("m", m, F.lit(1)))
+    kinds = F.transform("fp.field_types", lambda e: entry("t", e["t"], e["n"].cast("int")))
+    rows = nodes.select("node", "m", "t", F.explode(F.concat(member, kinds) if w.members > 0 and w.field_types > 0 else member if w.members > 0 else kinds).alias("x"))
+    alone = lambda own, other: max((c - other) / own, 0.0) if own > 0 else 0.0
+    least = F.when(F.col("x.is_m"), F.when(F.col("t") == 0, F.lit(alone(w.members, w.field_types))).otherwise(F.lit(share))).otherwise(F.when(F.col("m") == 0, F.lit(alone(w.field_types, w.members))).otherwise(F.lit(share)))
+    return rows.select("node", "x.k", "x.is_m", "x.weight", "m", "t", F.when(F.col("x.is_m"), F.col("m")).otherwise(F.col("t")).alias("own"), least.alias("least"))
 
 
-def _without_sides(df: DataFrame, name: str, share: float) -> DataFrame:
-    """Nodes that can meet by what they lack: both sides empty, or one where that alone is enough (share <= 0.5)."""
-    m, t = F.size("fp.members") == 0, F.size("fp.field_types") == 0
-    lacks = F.array_compact(F.array(F.when(m & t, F.lit("mt")), *([F.when(m, F.lit("m")), F.when(t, F.lit("t"))] if share <= 0.5 + 1e-9 else [])))
-    return df.select("pair_id", "kind", name, F.explode(lacks).alias("token"))
+def _prefix(tokens: DataFrame, seen: DataFrame) -> DataFrame:
+    """The rarest tokens of each node and side that a partner must share one of, with the weight before them. Tokens that the other
+    side lacks come first and take their part of the prefix, but need not be kept."""
+    order = Window.partitionBy("node", "is_m").orderBy(F.coalesce("df", F.lit(0)), "k")
+    before = F.coalesce(F.sum("weight").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    need = F.greatest(F.col("own") - F.ceil(F.col("own") * (F.col("least") - 1e-9)) + 1, F.lit(1))
+    own = tokens.join(seen, "k", "left").withColumn("before", before)
+    return own.where(F.col("df").isNotNull() & ((F.col("before") < need) | (F.col("least") <= 0))).select("k", "node", "m", "t", "own", "least", "before")
 
 
-def _likely(met: DataFrame, removed: DataFrame, added: DataFrame, least: float) -> DataFrame:
-    """Pairs whose J + MJ can reach `least`: MJ is at most the ratio of the totals, and J is bounded by the ratio of the sizes, then
-    by hashes of the members. Arrays of numbers are light to send and to intersect; one more common member than was counted
-    allows for two members of one hash."""
-    def light(df: DataFrame, name: str, p: str) -> DataFrame:
-        total = F.aggregate("fp.field_types", F.lit(0), lambda s, e: s + e["n"])
-        return df.select("pair_id", name, F.transform("fp.members", lambda m: F.xxhash64(m)).alias(f"{p}h"), F.size("fp.members").alias(f"{p}m"), total.alias(f"{p}t"))
+def _numbered(side: DataFrame) -> DataFrame:
+    """Written once more with a row number as `node` and the sizes of both sides."""
+    total = F.aggregate("fp.field_types", F.lit(0), lambda s, e: s + e["n"])
+    return materialize(side.withColumns({"node": F.monotonically_increasing_id(), "m": F.size("fp.members"), "t": total.cast("int")}))
 
-    # pairs are few bytes and much work: a fixed number of partitions keeps them from being coalesced into a few tasks
-    spread = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    both = met.join(light(removed, "rid", "r"), ["pair_id", "rid"]).repartition(spread, "pair_id", "aid").join(light(added, "aid", "a"), ["pair_id", "aid"])
-    ratio = lambda x, y: F.when(F.greatest(x, y) == 0, 1.0).otherwise(F.least(x, y) / F.greatest(x, y, F.lit(1)))
-    common = F.size(F.array_intersect("rh", "ah")) + 1
-    bound = F.when(F.col("rm") + F.col("am") == 0, 1.0).otherwise(common / F.greatest(F.col("rm") + F.col("am") - common, F.lit(1)))
-    kept = both.where(ratio("rm", "am") + ratio("rt", "at") >= least - 1e-9).where(bound + ratio("rt", "at") >= least - 1e-9)
-    return materialize(kept.select("pair_id", "rid", "aid"))
+
+def _ratio(x: str, y: str):
+    return F.when(F.greatest(x, y) == 0, 1.0).otherwise(F.least(x, y) / F.greatest(x, y, F.lit(1)))
 
 
 def candidates(removed: DataFrame, added: DataFrame, threshold: float, weights: Weights = DEFAULT) -> DataFrame:
     """pair_id, rid, aid, score of all pairs of one kind with a score of at least the threshold."""
-    share = (threshold - 0.2) / 0.4 / 2
-    named = removed.where(F.size("fp.neighbors") > 0).select("pair_id").unionByName(added.where(F.size("fp.neighbors") > 0).select("pair_id"))
-    if weights != DEFAULT or share <= 1e-9 or not named.isEmpty():
+    c, share, both = _needs(threshold, weights)
+    if c <= 1e-9 or both <= 0:
         met = removed.select("pair_id", "kind", "rid").join(added.select("pair_id", "kind", "aid"), ["pair_id", "kind"]).select("pair_id", "rid", "aid")
-    else:
-        r, a = _blocks(removed, "rid", share), _blocks(added, "aid", share)
-        count = lambda df, c: df.groupBy("pair_id", "kind", "side", "token").agg(F.count("*").alias(c))
-        # tokens of one side alone can't meet, and needn't be ranked
-        both = count(r, "rn").join(count(a, "an"), ["pair_id", "kind", "side", "token"], "full_outer")
-        seen = materialize(both.select("pair_id", "kind", "side", "token", (F.coalesce("rn", F.lit(0)) + F.coalesce("an", F.lit(0))).alias("df")))
-        x, y = _prefix(r, seen, "rid"), _prefix(a, seen, "aid").withColumnsRenamed({"total": "total2", "least": "least2"})
-        met = x.join(y, ["pair_id", "kind", "side", "token"])
-        met = met.where(F.least("total", "total2") >= F.greatest("total", "total2") * (F.least("least", "least2") - 1e-9)).select("pair_id", "rid", "aid")
-        lacking = _without_sides(removed, "rid", share).join(_without_sides(added, "aid", share), ["pair_id", "kind", "token"])
-        met = _likely(met.unionByName(lacking.select("pair_id", "rid", "aid")).distinct(), removed, added, 2 * share)
-    full = met.join(removed.select("pair_id", "rid", F.col("fp").alias("rfp")), ["pair_id", "rid"]).join(added.select("pair_id", "aid", F.col("fp").alias("afp")), ["pair_id", "aid"])
+        full = met.join(removed.select("pair_id", "rid", F.col("fp").alias("rfp")), ["pair_id", "rid"]).join(added.select("pair_id", "aid", F.col("fp").alias("afp")), ["pair_id", "aid"])
+        return full.select("pair_id", "rid", "aid", similarity(F.col("rfp"), F.col("afp"), weights).alias("score")).where(F.col("score") >= threshold)
+    r, a = _numbered(removed), _numbered(added)
+    rt, at = materialize(_tokens(r, c, share, weights)), materialize(_tokens(a, c, share, weights))
+    count = lambda df, name: df.groupBy("k").agg(F.count("*").alias(name))
+    # of tokens that both sides have, those that make the fewest pairs come first
+    seen = materialize(count(rt, "rn").join(count(at, "an"), "k").select("k", (F.col("rn") * F.col("an")).alias("df")))
+    x, y = _prefix(rt, seen), _prefix(at, seen)
+    y = y.select("k", *(F.col(n).alias(f"{n}2") for n in ("node", "m", "t", "own", "least", "before")))
+    enough = weights.members * _ratio("m", "m2") + weights.field_types * _ratio("t", "t2") >= c - 1e-9
+    least = F.least("least", "least2") - 1e-9
+    left = F.least(F.col("own") - F.col("before"), F.col("own2") - F.col("before2"))
+    # at the first token that a pair shares, all they share is still to come
+    room = left * (1 + least) >= least * (F.col("own") + F.col("own2"))
+    met = x.join(y, "k").where(enough & room & (F.least("own", "own2") >= F.greatest("own", "own2") * least)).select("node", "node2")
+    met = met.unionByName(_lacking(r, weights, c).join(_lacking(a, weights, c).withColumnRenamed("node", "node2"), "token").select("node", "node2")).distinct()
+    met = _likely(met, r, a, weights, c)
+    full = met.join(r.select("node", "pair_id", "rid", F.col("fp").alias("rfp")), "node").join(a.select(F.col("node").alias("node2"), "aid", F.col("fp").alias("afp")), "node2")
     return full.select("pair_id", "rid", "aid", similarity(F.col("rfp"), F.col("afp"), weights).alias("score")).where(F.col("score") >= threshold)
 
 
+def _lacking(nodes: DataFrame, w: Weights, c: float) -> DataFrame:
+    """Nodes that can meet by what they lack: both sides empty, or one where that alone is enough."""
+    m, t = F.col("m") == 0, F.col("t") == 0
+    lacks = [F.when(m & t, F.lit("mt")), *([F.when(m, F.lit("m"))] if w.members >= c - 1e-9 else []), *([F.when(t, F.lit("t"))] if w.field_types >= c - 1e-9 else [])]
+    return nodes.select("node", F.explode(F.array_compact(F.array(*lacks))).alias("x"), "pair_id", "kind").select("node", F.struct("pair_id", "kind", "x").alias("token"))
+
+
+def _likely(met: DataFrame, r: DataFrame, a: DataFrame, w: Weights, c: float) -> DataFrame:
+    """Pairs whose J and MJ can add up to c: MJ is at most the ratio of the totals, J is bounded by hashes of the members. Arrays of
+    numbers are light to send and to intersect; one more common member than was counted allows for two members of one hash."""
+    light = lambda df: df.select("node", F.transform("fp.members", lambda m: F.xxhash64(m)).alias("h"), "m", "t")
+    # pairs are few bytes and much work: a fixed number of partitions keeps them from being coalesced into a few tasks
+    spread = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = met.join(light(r), "node").repartition(spread, "node2").join(light(a).select(*(F.col(n).alias(f"{n}2") for n in ("node", "h", "m", "t"))), "node2")
+    common = F.size(F.array_intersect("h", "h2")) + 1
+    bound = F.when(F.col("m") + F.col("m2") == 0, 1.0).otherwise(F.least(common / F.greatest(F.col("m") + F.col("m2") - common, F.lit(1)), F.lit(1.0)))
+    return materialize(both.where(w.members * bound + w.field_types * _ratio("t", "t2") >= c - 1e-9).select("node", "node2"))
+
+
 def greedy(cands: DataFrame, keys: tuple[str, ...] = ("pair_id",)) -> DataFrame:
     """The assignment of taking candidates by (score desc, rid, aid), each id once: the order is total, so it equals taking,
     round by round, all pairs that are best for both their ids. Each round writes one table. Chains of ties may need many
@@ -133,12 +164,13 @@ def _one_by_one(left: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """The serial loop, one group of keys a task."""
     def run(pdf):
         used_r, used_a, keep = set(), set(), []
-        for i, row in pdf.sort_values(["score", "rid", "aid"], ascending=[False, True, True]).iterrows():
-            if row.rid not in used_r and row.aid not in used_a:
-                used_r.add(row.rid)
-                used_a.add(row.aid)
+        pdf = pdf.sort_values(["score", "rid", "aid"], ascending=[False, True, True])
+        for i, (rid, aid) in enumerate(zip(pdf["rid"].to_numpy(), pdf["aid"].to_numpy(), strict=True)):
+            if rid not in used_r and aid not in used_a:
+                used_r.add(rid)
+                used_a.add(aid)
                 keep.append(i)
-        return pdf.loc[keep]
+        return pdf.iloc[keep]
 
     return left.groupBy(*keys).applyInPandas(run, left.schema)
 

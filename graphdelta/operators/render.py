@@ -29,7 +29,7 @@ def _methods(nodes: DataFrame, changes: DataFrame) -> DataFrame:
     how = select.method_status(changes)
     every = nodes.where("kind = 'Fn'").select("pair_id", "id").unionByName(how.where("class = 'removed'").select("pair_id", "id")).distinct()
     marked = every.join(how, ["pair_id", "id"], "left").select("pair_id", owner("id").alias("owner"), F.struct("id", F.coalesce("class", F.lit("context")).alias("class")).alias("m"))
-    return marked.groupBy("pair_id", F.col("owner").alias("id")).agg(F.array_sort(F.collect_list("m")).alias("methods"))
+    return marked.groupBy("pair_id", F.col("owner").alias("id")).agg(F.sort_array(F.collect_list("m")).alias("methods"))
 
 
 def _members(changes: DataFrame) -> DataFrame:

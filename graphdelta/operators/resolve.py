@@ -68,7 +68,7 @@ def uses_edges(uses: DataFrame, modules: DataFrame) -> tuple[DataFrame, DataFram
     edges = known.where("target IS NOT NULL AND target != module").select("graph_id", F.col("module").alias("from"), F.col("target").alias("to"), "file", "start", "end", "seq")
     edges = first_wins(edges, ["graph_id", "from", "to"]).withColumn("kind", F.lit("Uses"))
     lost = local.where("_root IS NULL").select("graph_id", "module", "written").unionByName(known.where("target IS NULL").select("graph_id", "module", "written"))
-    attrs = lost.groupBy("graph_id", F.col("module").alias("id")).agg(F.array_join(F.array_sort(F.collect_set("written")), ", ").alias("uses"))
+    attrs = lost.groupBy("graph_id", F.col("module").alias("id")).agg(F.array_join(F.sort_array(F.collect_set("written")), ", ").alias("uses"))
     return edges, attrs
 
 
@@ -96,5 +96,5 @@ def with_attr(nodes: DataFrame, values: DataFrame, key: str) -> DataFrame:
     """nodes with attribute `key` from values (graph_id, id, and the value), attributes sorted."""
     value = next(c for c in values.columns if c not in ("graph_id", "id"))
     joined = nodes.join(values.select("graph_id", "id", F.col(value).cast("string").alias("_v")), ["graph_id", "id"], "left")
-    more = F.when(F.col("_v").isNotNull(), F.array_sort(F.concat("attrs", F.array(F.struct(F.lit(key).alias("k"), F.col("_v").alias("v")))))).otherwise(F.col("attrs"))
+    more = F.when(F.col("_v").isNotNull(), F.sort_array(F.concat("attrs", F.array(F.struct(F.lit(key).alias("k"), F.col("_v").alias("v")))))).otherwise(F.col("attrs"))
     return joined.withColumn("attrs", more).select(*nodes.columns)

@@ -111,7 +111,7 @@ def with_moves(ops: list[tuple[str, str, str | None]]) -> list[tuple[str, str, s
 def tree_diff(trees: DataFrame, moves: bool = True) -> DataFrame:
     """pair_id, cost, ops. trees: pair_id, side (base or head), node, parent (null: root), pos, label."""
     row = F.struct(*(F.col(c).cast("long").alias(c) for c in ("node", "parent", "pos")), "label")
-    of = lambda s: F.array_sort(F.collect_list(F.when(F.col("side") == s, row))).alias(s)
+    of = lambda s: F.sort_array(F.collect_list(F.when(F.col("side") == s, row))).alias(s)
 
     @F.pandas_udf(SCRIPT)
     def script(base: pd.Series, head: pd.Series) -> pd.DataFrame:

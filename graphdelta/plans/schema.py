@@ -32,10 +32,10 @@ def fingerprint(members: Column, field_types: Column | None = None, member_types
     """Canonical: all arrays sorted, sets without repeats."""
     none = F.array().cast("array<string>")
     return F.struct(
-        F.array_sort(F.array_distinct(members)).alias("members"),
-        (F.array_sort(field_types) if field_types is not None else F.array().cast("array<struct<t:string,n:int>>")).alias("field_types"),
-        (F.array_sort(member_types) if member_types is not None else F.array().cast("array<struct<m:string,t:string>>")).alias("member_types"),
-        (F.array_sort(F.array_distinct(neighbors)) if neighbors is not None else none).alias("neighbors"),
+        F.sort_array(F.array_distinct(members)).alias("members"),
+        (F.sort_array(field_types) if field_types is not None else F.array().cast("array<struct<t:string,n:int>>")).alias("field_types"),
+        (F.sort_array(member_types) if member_types is not None else F.array().cast("array<struct<m:string,t:string>>")).alias("member_types"),
+        (F.sort_array(F.array_distinct(neighbors)) if neighbors is not None else none).alias("neighbors"),
         (doc_hash if doc_hash is not None else F.lit("0")).alias("doc_hash"),
     ).cast(FP)
 

@@ -441,13 +441,14 @@ def q_findings_hash(spark, sf_dir):
 
 
 def _fenced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A document per conversation and side with a fenced block per turn; every third turn's block is no sequence."""
+    """A document per conversation and side with a fenced block per turn, of its whole text; every third turn's block is no
+    sequence. Rows without a conv_id belong to no conversation."""
     turns = tg.table(spark, sf_dir, "conversations").where("conv_id IS NOT NULL")
     head = F.when(F.col("turn") % 3 == 2, "flowchart LR").otherwise("sequenceDiagram")
-    line = F.regexp_replace(F.substring(F.coalesce("text", F.lit("")), 1, 40), r"[^A-Za-z ]", "x")
+    line = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^A-Za-z ]", "x")
     block = F.concat(F.lit("text\n```mermaid\n"), head, F.lit("\n  "), "role", F.lit(": "), line, F.lit("\n```\nmore\n"))
     own = turns.select("conv_id", (F.col("conv_id") % 2).alias("side"), F.struct("turn", block.alias("b")).alias("x"))
-    return own.groupBy("conv_id", "side").agg(F.array_join(F.array_sort(F.collect_list("x"))["b"], "").alias("text"))
+    return own.groupBy("conv_id", "side").agg(F.array_join(F.sort_array(F.collect_list("x"))["b"], "").alias("text"))
 
 
 @query
@@ -471,7 +472,7 @@ def q_tree_edit_distance(spark, sf_dir):
     parts = tg.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.substring("p_type", 1, 1).alias("label"))
     own = lines.join(parts, "l_partkey")
     leaf = own.select((F.floor(F.col("l_orderkey") / 2)).alias("pair_id"), F.when(F.col("l_orderkey") % 2 == 0, "base").otherwise("head").alias("side"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "label").alias("x"))
-    seqs = leaf.groupBy("pair_id", "side").agg(F.array_sort(F.collect_list("x"))["label"].alias("labels"))
+    seqs = leaf.groupBy("pair_id", "side").agg(F.sort_array(F.collect_list("x"))["label"].alias("labels"))
     leaves = seqs.select("pair_id", "side", F.posexplode("labels").alias("pos", "label")).select("pair_id", "side", (F.col("pos") + 1).alias("node"), F.lit(0).alias("parent"), "pos", "label")
     roots = seqs.select("pair_id").distinct().select("pair_id", F.explode(F.array(F.lit("base"), F.lit("head"))).alias("side"), F.lit(0).alias("node"), F.lit(None).cast("int").alias("parent"), F.lit(0).alias("pos"), F.lit("root").alias("label"))
     return tree.tree_diff(leaves.unionByName(roots)).select("pair_id", F.col("cost").cast("long").alias("cost"))
@@ -489,9 +490,9 @@ def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     struct = F.concat(F.lit("/// Supplies.\npub struct "), name, F.lit(" {\n"), fields, F.lit("}\nimpl "), name, F.lit(" { pub fn run(&self) -> u64 { helper(1); self.run2(); other() } fn run2(&self) {} }\n"))
     module = F.regexp_extract("id", r"N(\d+)::", 1)
     code = profiles.select("graph_id", F.concat(F.lit("src/n"), module, F.lit(".rs")).alias("path"), F.struct("id", struct.alias("s")).alias("s"))
-    files = code.groupBy("graph_id", "path").agg(F.concat(F.lit("use crate::shared::Order;\nfn helper(x: u64) -> u64 { x }\n"), F.array_join(F.array_sort(F.collect_list("s"))["s"], "")).alias("content"))
-    mods = files.groupBy("graph_id").agg(F.concat(F.lit("pub mod shared;\n"), F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("mod "), F.regexp_extract("path", r"(n\d+)", 1), F.lit(";\n")))), "")).alias("content"))
-    states = tg.table(spark, sf_dir, "orders").select("o_orderstatus").distinct().agg(F.array_sort(F.collect_list("o_orderstatus")).alias("s"))
+    files = code.groupBy("graph_id", "path").agg(F.concat(F.lit("use crate::shared::Order;\nfn helper(x: u64) -> u64 { x }\n"), F.array_join(F.sort_array(F.collect_list("s"))["s"], "")).alias("content"))
+    mods = files.groupBy("graph_id").agg(F.concat(F.lit("pub mod shared;\n"), F.array_join(F.sort_array(F.collect_list(F.concat(F.lit("mod "), F.regexp_extract("path", r"(n\d+)", 1), F.lit(";\n")))), "")).alias("content"))
+    states = tg.table(spark, sf_dir, "orders").select("o_orderstatus").distinct().agg(F.sort_array(F.collect_list("o_orderstatus")).alias("s"))
     enum = states.select(F.concat(F.lit("pub enum Order { "), F.array_join("s", ", "), F.lit(" }\nimpl Order { pub fn next(self) -> Order { match self { "), F.array_join(F.transform("s", lambda x, i: F.concat(F.lit("Order::"), x, F.lit(" => Self::"), F.element_at("s", (i + 1) % F.size("s") + 1), F.lit(", "))), ""), F.lit("} } }\n")).alias("content"))
     graphs = mods.select("graph_id")
     every = files.unionByName(mods.select("graph_id", F.lit("src/lib.rs").alias("path"), "content")).unionByName(graphs.crossJoin(enum).select("graph_id", F.lit("src/shared.rs").alias("path"), "content"))
@@ -529,7 +530,7 @@ def q_extract_schema(spark, sf_dir):
     """A schema file per region, with a column per nation of it."""
     from graphdelta.sources.rustsrc.scan import schema_files_graph
 
-    columns = F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("n"), F.col("n_nationkey").cast("string"), F.lit(" -> Nullable<Text>")))), ", ")
+    columns = F.array_join(F.sort_array(F.collect_list(F.concat(F.lit("n"), F.col("n_nationkey").cast("string"), F.lit(" -> Nullable<Text>")))), ", ")
     before, after = SCHEMA_SOURCE.format(columns="\0").split("\0")
     files = tg.table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").cast("string").alias("graph_id")).agg(F.encode(F.concat(F.lit(before), columns, F.lit(after)), "UTF-8").alias("content"))
     nodes, edges = schema_files_graph(files.withColumn("path", F.lit("src/schema.rs")))

@@ -98,7 +98,7 @@ drift AS (SELECT head AS pair_id, count(*) FILTER (kind = 'n' AND NOT was) AS ad
 """
 
 FENCES = r"""
-WITH b AS (SELECT conv_id, turn, 'sequenceDiagram' || chr(10) || rtrim('  ' || role || ': ' || regexp_replace(substr(coalesce(text, ''), 1, 40), '[^A-Za-z ]', 'x', 'g')) AS block FROM conversations WHERE conv_id IS NOT NULL AND turn % 3 <> 2),
+WITH b AS (SELECT conv_id, turn, 'sequenceDiagram' || chr(10) || rtrim('  ' || role || ': ' || regexp_replace(coalesce(text, ''), '[^A-Za-z ]', 'x', 'g')) AS block FROM conversations WHERE conv_id IS NOT NULL AND turn % 3 <> 2),
 f AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, block) - 1 AS pos, block FROM b)
 """
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from graphdelta.functions.similarity import doc_hash
 from graphdelta.plans.schema import as_edges, as_nodes, fingerprint
 
-WORD = r"[^\x20\x09-\x0D]+"
+SPACE = r"[\x20\x09-\x0D]+"
 EVENT_CUT, SHIP_CUT = "2024-01-16", "1998-05-24"
 #: A pair of nations counts as linked in a quarter from so many times its even share of the quarter's lines on.
 LINK_SHARE = 1.3
@@ -50,8 +50,10 @@ def document_graph(spark: SparkSession, sf_dir: str) -> Graph:
         _text("crate::", F.col("lang"), F.lit("::"), F.col("source"), F.lit("::D"), F.col("doc_id").cast("string")).alias("id"),
         F.col("doc_id").alias("seq"), F.coalesce("text", F.lit("")).alias("text"),
     )
-    words = docs.select("graph_id", "id", F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("w")).groupBy("graph_id", "id", "w").agg(F.count("*").cast("int").alias("n"))
-    bags = words.groupBy("graph_id", "id").agg(F.collect_list(F.struct(F.col("w").alias("t"), "n")).alias("bag"))
+    # texts are dealt out once, by seq: counting words within a document then needs no shuffle of words
+    words = docs.repartition("seq").select("seq", "graph_id", "id", F.explode(F.split("text", SPACE)).alias("w")).where("w != ''")
+    words = words.groupBy("seq", "graph_id", "id", "w").agg(F.count("*").cast("int").alias("n"))
+    bags = words.groupBy("seq", "graph_id", "id").agg(F.collect_list(F.struct(F.col("w").alias("t"), "n")).alias("bag")).drop("seq")
     none = F.array().cast("array<struct<t:string,n:int>>")
     own = docs.join(bags, ["graph_id", "id"], "left").withColumn("bag", F.coalesce("bag", none))
     types = F.transform("bag", lambda e: F.struct(e["t"].alias("m"), e["n"].cast("string").alias("t")))
@@ -126,7 +128,7 @@ SCHEMA_KEYS = (("base", "posts", "users"), ("base", "logs", "users"), ("head", "
 def schema_graph(spark: SparkSession, rows=SCHEMA_ROWS, keys=SCHEMA_KEYS) -> Graph:
     """Table nodes with their sorted columns as an attribute, and ForeignKey edges."""
     cells = spark.createDataFrame(list(rows), "graph_id string, id string, c string, t string")
-    columns = F.array_join(F.array_sort(F.collect_list(F.concat("c", F.lit(": "), "t"))), ", ")
+    columns = F.array_join(F.sort_array(F.collect_list(F.concat("c", F.lit(": "), "t"))), ", ")
     attrs = F.array(F.struct(F.lit("columns").alias("k"), columns.alias("v")))
     nodes = cells.groupBy("graph_id", "id").agg(attrs.alias("attrs")).withColumn("kind", F.lit("Table")).withColumn("file", F.lit("src/schema.rs"))
     edges = spark.createDataFrame(list(keys), "graph_id string, `from` string, `to` string").withColumn("kind", F.lit("ForeignKey")).withColumn("file", F.lit("src/schema.rs"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphdelta.functions.similarity import Weights, doc_hash, jaccard, multiset_jaccard, similarity
 from graphdelta.operators import diff, match, reports
+from graphdelta.operators.ranks import numbered
 
 
 def delta(spark, base, head, base_edges=(), head_edges=(), threshold=None, renames=None):
@@ -107,10 +108,11 @@ def py_multi(a, b):
     return 1.0 if not top else sum(min(a.get(k, 0), b.get(k, 0)) for k in {*a, *b}) / top
 
 
-def py_score(x, y):
+def py_score(x, y, w=(0.4, 0.4, 0.1, 0.1)):
     m = py_jaccard(set(x["members"]), set(y["members"]))
     t = py_multi({e["t"]: e["n"] for e in x["field_types"]}, {e["t"]: e["n"] for e in y["field_types"]})
-    return m * 0.4 + t * 0.4 + 0.1 + (0.1 if x["doc_hash"] == y["doc_hash"] else 0.0)
+    n = py_jaccard(set(x["neighbors"]), set(y["neighbors"]))
+    return (m * w[0] + t * w[1] + n * w[2] + (1.0 if x["doc_hash"] == y["doc_hash"] else 0.0) * w[3]) / sum(w)
 
 
 def py_greedy(cands):
@@ -139,6 +141,37 @@ def test_blocking_loses_nothing_and_rounds_are_greedy(spark, old, new, threshold
     assert taken == py_greedy([x for x in scored if x[0] >= threshold])
 
 
+named = st.builds(lambda x, n: {**x, "neighbors": sorted(n)}, prints, st.sets(st.sampled_from("pqr"), max_size=2))
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(named, max_size=12), st.lists(named, max_size=12), st.sampled_from([0.4, 0.7, 0.9]), st.sampled_from([(0.4, 0.4, 0.1, 0.1), (3, 1, 1, 0), (1, 0, 0, 1), (0, 2, 1, 0), (0, 0, 1, 1)]))
+def test_blocking_loses_nothing_with_any_weights(spark, old, new, threshold, w):
+    base = [{"id": f"r{i:02}", "fp": x, **S} for i, x in enumerate(old)]
+    head = [{"id": f"a{i:02}", "fp": x, **S} for i, x in enumerate(new)]
+    removed, added = match.sides(diff.node_delta(nodes(spark, base), nodes(spark, head)))
+    got = {(r.rid, r.aid) for r in match.candidates(removed, added, threshold, Weights(*map(float, w))).collect()}
+    scored = {(x["id"], y["id"]): py_score(x["fp"], y["fp"], w) for x, y in product(base, head)}
+    assert {k for k, s in scored.items() if s >= threshold + 1e-9} <= got <= {k for k, s in scored.items() if s >= threshold - 1e-9}
+
+
+def test_a_class_of_many_equal_nodes(spark):
+    """Boilerplate: ranks within one hot class, over several ranges."""
+    base = [{"id": f"r{i:03}", "fp": ONE, **S} for i in range(70)]
+    head = [{"id": f"a{i:03}", "fp": ONE, **S} for i in range(50)]
+    got = match.match(diff.node_delta(nodes(spark, base), nodes(spark, head)), 0.7)
+    assert sorted((r.rid, r.aid) for r in got.collect()) == [(f"r{i:03}", f"a{i:03}") for i in range(50)]
+
+
+def test_numbers_within_a_hot_key(spark):
+    rows = [("p", i % 7, i) for i in range(500)] + [(None, 1, 1), (None, 0, 2), ("q", None, 3)]
+    got = numbered(spark.createDataFrame(rows, "k string, a int, b int"), ["k"], ["a", F.col("b")], "n").collect()
+    for key in ("p", "q", None):
+        own = sorted((r for r in got if r.k == key), key=lambda r: r.n)
+        assert [r.n for r in own] == list(range(1, len(own) + 1))
+        assert [(r.a, r.b) for r in own] == sorted(((a, b) for k, a, b in rows if k == key), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+
+
 def test_long_chains_of_ties(spark):
     rows = [("p", f"r{i:03}", f"a{j:03}", 0.9) for i in range(14) for j in range(14)]
     got = match.greedy(spark.createDataFrame(rows, "pair_id string, rid string, aid string, score double"))
