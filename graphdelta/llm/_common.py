@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -139,6 +140,26 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(WORD_HASH.__getitem__, words), np.uint64, len(words))
 
 
+def hashed_words(texts: list[bytes], table: bytes | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of some texts, one text after another, and how many each text has: what word_hashes gives of
+    t.split(), or of t.translate(table).split(). Words are split and told apart in Arrow; only distinct ones are hashed. The texts
+    must be UTF-8, and of less than 2 GB in all."""
+    raw = pa.array(texts, pa.binary())
+    _, offsets, data = raw.buffers()
+    if table is not None and data is not None:
+        data = pa.py_buffer(data.to_pybytes().translate(table))
+    lists = pc.ascii_split_whitespace(pa.Array.from_buffers(pa.string(), len(texts), [None, offsets, data]))
+    coded = pc.dictionary_encode(lists.values)
+    words = coded.dictionary.cast(pa.binary()).to_pylist()
+    own = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    codes, ends = coded.indices.to_numpy(), lists.offsets.to_numpy().astype(np.int64)
+    if b"" in words:  # at the edges of a text
+        keep = codes != words.index(b"")
+        ends = np.concatenate([[0], np.cumsum(keep)])[ends]
+        codes = codes[keep]
+    return own[codes], np.diff(ends)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (splitmix64), so that all bits of the result depend on all bits of x."""
     with np.errstate(over="ignore"):

@@ -1,7 +1,7 @@
 """Near duplicates by b-bit MinHash, with every link confirmed on full shingle sets.
 
 1. One pass hashes each text's words (ASCII lower case) to its set of shingles. Equal sets have equal fingerprints (count
-   and two 64-bit sums) and collapse to one representative before anything is compared.
+   and two 64-bit sums) and collapse to one representative before anything is compared; these links too are confirmed on whole texts.
 2. K = bands * ROWS minima per set give band keys; of each minimum only BITS low bits are kept, packed. Pairs within a
    band's bucket are compared by counting equal groups of bits, corrected for chance:
    (share - 2^-BITS) / (1 - 2^-BITS); those within MARGIN of the wanted similarity are candidates.
@@ -30,14 +30,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graphdelta.llm._common import binary_values, checked, discard, materialize, mix, ngram_hashes, ship, table, word_hashes
+from graphdelta.llm._common import binary_values, checked, discard, hashed_words, hub_join, in_slices, materialize, mix, ngram_hashes, ship, table, word_hashes
 from graphdelta.llm.components import components
 from graphdelta.llm.tiles import tile_join
 
 ROWS, BITS, MISS, MARGIN, BUNDLE, SMALL = 4, 2, 1e-7, 0.27, 256, 8
-#: How often a class of equal sets is dealt out, where classes are too many to be broadcast.
-SALTS = 64
-KEYS_SCHEMA = "doc_id long, n_shingles long, s1 long, s2 long, sig binary, bands array<long>"
+KEYS_SCHEMA = "doc_id long, n_shingles long, s1 long, s2 long, sig array<long>, bands array<long>"
 
 
 def bands_for(percent: int, rows: int = ROWS, miss: float = MISS) -> int:
@@ -75,14 +73,27 @@ def minima(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def packed(low: np.ndarray) -> bytes:
-    """BITS low bits of each minimum: first the lowest bit of all, then the next of all, each padded to whole 64-bit words."""
+def packed(low: np.ndarray) -> np.ndarray:
+    """BITS low bits of each minimum of some rows of minima, as 64-bit numbers: first the lowest bit of all, then the next of all, each
+    padded to whole numbers."""
     m = mix(low.astype(np.uint64))
     planes = []
     for bit in range(BITS):
-        plane = np.packbits(((m >> np.uint64(bit)) & np.uint64(1)).astype(np.uint8))
-        planes.append(plane.tobytes().ljust(-(-len(plane) // 8) * 8, b"\0"))
-    return b"".join(planes)
+        plane = np.packbits(((m >> np.uint64(bit)) & np.uint64(1)).astype(np.uint8), axis=1)
+        planes.append(np.pad(plane, ((0, 0), (0, -plane.shape[1] % 8))))
+    return np.ascontiguousarray(np.concatenate(planes, axis=1)).view(np.int64)
+
+
+def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
+    """Per text what shingle_hashes gives."""
+    h, size = hashed_words([t.lower() for t in texts])
+    grams, ends = ngram_hashes(h, n), np.cumsum(size)
+    out = []
+    for start, end in zip((ends - size).tolist(), ends.tolist(), strict=True):
+        own = grams[start : end - n + 1] if end - start >= n else ngram_hashes(h[start:end], end - start) if end > start else h[:0]
+        own = np.sort(own)
+        out.append(own[np.r_[True, own[1:] != own[:-1]]] if len(own) > 1 else own)
+    return out
 
 
 def keys(docs: DataFrame, shingle: int, bands: int) -> DataFrame:
@@ -93,22 +104,23 @@ def keys(docs: DataFrame, shingle: int, bands: int) -> DataFrame:
         names = ["doc_id", "n_shingles", "s1", "s2", "sig", "bands"]
         salt = mix(np.arange(1, bands + 1, dtype=np.uint64))
         for batch in batches:
-            rows = []
-            for text in binary_values(batch.column(1)):
-                s = shingle_hashes(text, shingle)
-                if not len(s):
-                    rows.append((0, 0, 0, None, None))
-                    continue
-                low = minima(s, a, b)
-                band = salt.copy()
+            texts = binary_values(batch.column(1))
+            sets = [s for lo, hi in in_slices([len(t) for t in texts], 4 << 20) for s in shingle_sets(texts[lo:hi], shingle)]
+            some = np.array([i for i, s in enumerate(sets) if len(s)], np.int64)
+            low = np.stack([minima(sets[i], a, b) for i in some]) if len(some) else np.zeros((0, bands * ROWS), np.uint32)
+            band = np.repeat(salt[None, :], len(some), axis=0)
+            for r in range(ROWS):
                 with np.errstate(over="ignore"):
-                    for r in range(ROWS):
-                        band = mix(band * np.uint64(0x9E3779B97F4A7C15) + low[r::ROWS].astype(np.uint64))
-                    s1, s2 = int(s.sum()), int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum())
-                rows.append((len(s), s1 - (s1 >> 63 << 64), s2 - (s2 >> 63 << 64), packed(low), band.view(np.int64)))
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 5
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=names)
+                    band = mix(band * np.uint64(0x9E3779B97F4A7C15) + low[:, r::ROWS].astype(np.uint64))
+            sums = np.zeros((len(sets), 2), np.uint64)
+            for i in some:
+                sums[i] = sets[i].sum(), mix(sets[i] ^ np.uint64(0x5851F42D4C957F2D)).sum()
+            place = np.full(len(sets), -1, np.int64)
+            place[some] = np.arange(len(some))
+            at = pa.array(place, mask=place < 0)
+            lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel())).take(at) for x in (packed(low), band.view(np.int64))]
+            columns = [pa.array([len(s) for s in sets], pa.int64()), *(pa.array(np.ascontiguousarray(sums[:, k]).view(np.int64)) for k in (0, 1)), *lists]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, KEYS_SCHEMA)
 
@@ -116,7 +128,7 @@ def keys(docs: DataFrame, shingle: int, bands: int) -> DataFrame:
 def estimate(x: Column, y: Column, n: int) -> Column:
     """Similarity of two packed signatures of n minima: those whose bits all agree, corrected for agreement by chance."""
     words = -(-n // 64)
-    number = lambda c, i: F.conv(F.hex(F.substring(c, i * 8 + 1, 8)), 16, -10).cast("long")
+    number = lambda c, i: F.get(c, F.lit(i))
     differ = None
     for w in range(words):
         miss = None
@@ -139,17 +151,23 @@ def confirm(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> Da
     tails = dealt.join(docs.withColumnRenamed("doc_id", "b"), "b").select("a", "part", "b", "text")
     met = heads.unionByName(tails).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
 
+    words = lambda text: text.lower().split()
+
     def run(batches):
-        now, own = None, set()
+        now, own, head, whole = None, None, b"", []
         for batch in batches:
             found = []
             a, part, b = (batch.column(i).to_pylist() for i in range(3))
             for i, text in enumerate(binary_values(batch.column(3))):
                 if b[i] is None:
-                    now, own = (a[i], part[i]), shingle_set(text, shingle)
+                    now, own, head, whole = (a[i], part[i]), None, text, words(text)
                     continue
                 if now != (a[i], part[i]):
                     raise ValueError("a pair came before its head")
+                if words(text) == whole:  # copies have equal sets
+                    found += [(a[i], b[i])] * bool(whole)
+                    continue
+                own = shingle_set(head, shingle) if own is None else own
                 other = shingle_set(text, shingle)
                 common = len(own & other)
                 if own and other and 100 * common >= percent * (len(own) + len(other) - common):
@@ -168,25 +186,19 @@ def shingle_table(docs: DataFrame, shingle: int) -> DataFrame:
     """doc_id and shingles (binary: the sorted 64-bit hashes of the whole text)."""
     def run(batches):
         for batch in batches:
-            data = [shingle_hashes(t, shingle).tobytes() for t in binary_values(batch.column(1))]
+            texts = binary_values(batch.column(1))
+            data = [s.tobytes() for lo, hi in in_slices([len(t) for t in texts], 4 << 20) for s in shingle_sets(texts[lo:hi], shingle)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], names=["doc_id", "shingles"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles binary")
 
 
 def class_members(firsts: DataFrame) -> DataFrame:
-    """doc_id and rep, the least doc_id with an equal set. Only sets that occur twice or more are joined back, and a set may be
-    that of a third of all rows: the join broadcasts these classes if they are few, else it deals each out SALTS times."""
+    """doc_id and rep, the least doc_id with an equal set, of sets that occur twice or more. A set may be that of a third of all rows."""
     sets = ["n_shingles", "s1", "s2"]
-    classes = materialize(firsts.groupBy(*sets).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n"), "classes")
-    own = firsts.select("doc_id", *sets)
-    few = checked(classes)
-    if few is not classes:
-        joined = own.join(few, sets, "left")
-    else:
-        salted = classes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = own.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, [*sets, "salt"], "left")
-    return joined.select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
+    classes = materialize(firsts.groupBy(*sets).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1"), "classes")
+    total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return hub_join(firsts.select("doc_id", *sets), classes, sets, "n", total).select("doc_id", "rep")
 
 
 def link(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -202,7 +214,8 @@ def link(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     else:
         firsts, texts = ids, docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     member = materialize(class_members(firsts), "member")
-    others = member.where("doc_id != rep").select("doc_id")
+    copies = member.where("doc_id != rep")
+    others = copies.select("doc_id")
     reps = materialize(firsts.select("doc_id", "n_shingles", "sig", "bands").join(checked(others), "doc_id", "left_anti"), "reps")
     rows = reps.select(F.explode("bands").alias("key"), "doc_id")
     shared = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
@@ -234,7 +247,8 @@ def link(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
         discard(sets, wanted, now, open_, found)
         links = links.unionByName(materialize(confirm(more, texts, shingle, percent), "links"))
     discard(members, large)
-    edges = member.where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).unionByName(links)
+    equal = confirm(copies.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")), texts, shingle, percent)
+    edges = equal.unionByName(links)
     found = materialize(components(edges), "components")
     return every.select("doc_id", "n_shingles").join(found, F.col("doc_id") == F.col("id"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 

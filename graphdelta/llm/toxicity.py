@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphdelta.llm._common import binary_values, extended, fold, in_slices, join_labels, joined_sums, label_rows, materialize, ship, table, text_keys, tuning_rows, word_hashes
+from graphdelta.llm._common import binary_values, extended, fold, hashed_words, in_slices, join_labels, joined_sums, label_rows, materialize, ship, table, text_keys, tuning_rows
 
 SHARE, CALIBRATE, MOST, HOT = 0.01, 20_000, 1 << 22, 1 << 20
 FOLDS, HELD_OUT, TUNED = 5, 0, 4
@@ -43,14 +43,10 @@ LEAST_D, MOST_D, SHARED_D = 0.05, 0.95, 0.75
 KEEP = bytes(ord(chr(c).lower()) if c < 128 and chr(c).isalnum() else c if c >= 128 else 32 for c in range(256))
 
 
-def text_words(text: bytes) -> list[bytes]:
-    return text.translate(KEEP).split()
-
-
 def encode(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Of some texts: the words' hashes as signed numbers, and each text's number of words."""
-    lists = [text_words(t) for t in texts]
-    return word_hashes([w for x in lists for w in x]).view(np.int64), np.array([len(x) for x in lists], np.int64)
+    h, n = hashed_words(texts, KEEP)
+    return h.view(np.int64), n
 
 
 @dataclass

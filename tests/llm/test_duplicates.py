@@ -66,6 +66,27 @@ def test_query_against_brute_force(spark):
         assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), want[r.doc_id], want[r.doc_id] == r.doc_id)
 
 
+def test_copies_are_confirmed_on_whole_texts(spark, monkeypatch):
+    """Two sets of equal fingerprints and different members (a made-up collision) are not linked."""
+    docs = documents(spark, ["a b c d", "A b  c d", "x y z w", "p q"]).select("doc_id", "text")
+    monkeypatch.setattr(minhash, "class_members", lambda firsts: firsts.where("doc_id IN (0, 1, 2)").select("doc_id", F.lit(0).cast("long").alias("rep")))
+    assert linked(minhash.link(docs, 3, 85)) == {0: 0, 1: 0, 2: 2, 3: 3}
+
+
+words_of = st.lists(st.text(alphabet=st.sampled_from(list("aBé \t\n\x0b\x0c\r\x1c\x1f\u3000.!")), max_size=25), max_size=6)
+
+
+@settings(max_examples=200, deadline=None)
+@given(words_of, st.sampled_from([1, 3, 5]))
+def test_batches_of_texts_hash_like_each_of_them(texts, n):
+    own = [t.encode() for t in texts]
+    h, size = _common.hashed_words(own)
+    assert size.tolist() == [len(t.split()) for t in own]
+    assert (h == _common.word_hashes([w for t in own for w in t.split()])).all()
+    for got, t in zip(minhash.shingle_sets(own, n), own, strict=True):
+        assert np.array_equal(got, minhash.shingle_hashes(t, n))
+
+
 def test_minhash_cases(spark):
     long = " ".join(f"w{i}" for i in range(30_000))
     docs = odd(spark, [(5, None), (4, ""), (3, " \n"), (9, "A b"), (8, "a  B"), (7, "a b c"), (None, "a b c"), (6, "x y z"), (6, "x y z"), (2, long), (1, long + " end")])
@@ -86,7 +107,7 @@ def test_estimate_follows_similarity(spark):
         x = np.array([rng.getrandbits(64) for _ in range(2000)], np.uint64)
         cut = int(2000 * 2 * share / (1 + share))
         y = np.concatenate([x[:cut], np.array([rng.getrandbits(64) for _ in range(2000 - cut)], np.uint64)])
-        row = spark.createDataFrame([(bytearray(minhash.packed(minhash.minima(x, a, b))), bytearray(minhash.packed(minhash.minima(y, a, b))))], "x binary, y binary")
+        row = spark.createDataFrame([tuple(minhash.packed(np.stack([minhash.minima(x, a, b), minhash.minima(y, a, b)])).tolist())], "x array<long>, y array<long>")
         got = row.select(minhash.estimate(F.col("x"), F.col("y"), 124)).first()[0]
         assert abs(got - share) < 0.17
 
