@@ -4,8 +4,9 @@ A document of n tokens becomes whole windows of `capacity` and one rest. A bin t
 of the same source and none of the same cluster of duplicates; among the bins that may take it the one with the least room
 left wins (of equals the one opened first), else a new bin opens. Rests come longest first, then by doc_id and piece.
 
-Rests are dealt into groups of about GROUP by a hash of doc_id and piece, so that each group mixes all sources; a group is
-packed in one task and its bins are its own. All rows are packed; more rows make more groups, not larger ones. Bins with one
+Rests are dealt into groups of about GROUP by a hash of doc_id and piece (and of a row number, where a doc_id, or null, has many
+rows), so that each group mixes all sources; a group is a partition of its own, packed in one task, and its bins are its own: best
+fit is within a group, which costs each group's last open bins. All rows are packed; more rows make more groups, not larger ones. Bins with one
 room left form a level; each carries bitmaps of its sources and clusters, each level the intersection of its bins' bitmaps.
 The search goes from the tightest level up, over a bit set of levels in use, passes levels whose intersection already
 conflicts, and ends at the first compatible bin.
@@ -25,7 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphdelta.llm import minhash
-from graphdelta.llm._common import binary_values, materialize, ship, table
+from graphdelta.llm._common import ASCII_SPACE, BROADCAST_ROWS, HOT_ROWS, binary_values, materialize, ship, table
+from graphdelta.llm.token_files import encoder
 
 CAPACITY, GROUP = 2048, 8192
 SCHEMA = "doc_id long, piece long, start long, n_tokens long, bin_id string, bin_offset long"
@@ -98,13 +100,17 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataF
     row number that tells repeated rows apart."""
     ship(docs.sparkSession, 10_000)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("n_tokens").cast("long").alias("n"), F.col("source").cast("string").alias("source"), F.col("cluster").cast("string").alias("cluster"))
-    own = materialize(own.where("n > 0"), "lengths")
+    own = materialize(own.where("n > 0").withColumn("_row", F.monotonically_increasing_id()), "lengths")
     full = F.floor(F.col("n") / capacity)
     whole = own.where(F.col("n") >= capacity).select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), full - 1)).alias("piece"))
     whole = whole.select("doc_id", "piece", (F.col("piece") * capacity).alias("start"), F.lit(capacity).cast("long").alias("n_tokens"), F.concat_ws("-", F.lit("w"), "doc_id", "piece", F.monotonically_increasing_id()).alias("bin_id"), F.lit(0).cast("long").alias("bin_offset"))
-    rests = own.where(F.col("n") % capacity > 0).select("doc_id", full.alias("piece"), (F.col("n") % capacity).alias("size"), "source", "cluster")
-    groups = max(1, -(-rests.count() // group))
-    rests = rests.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)).cast("int"))
+    rests = own.where(F.col("n") % capacity > 0).select("doc_id", full.alias("piece"), (F.col("n") % capacity).alias("size"), "source", "cluster", "_row")
+    total = rests.count()
+    groups = max(1, -(-total // group))
+    many = rests.groupBy("doc_id").agg(F.count("*").alias("_n")).where(F.col("_n") > max(HOT_ROWS, total // BROADCAST_ROWS)).select(F.col("doc_id").alias("_hot"), F.lit(True).alias("_is"))  # BROADCAST_ROWS ids at most
+    marked = rests.join(F.broadcast(many), F.col("doc_id").eqNullSafe(F.col("_hot")), "left")
+    part = F.pmod(F.xxhash64("doc_id", "piece", F.when(F.col("_is"), F.col("_row"))), F.lit(groups)).cast("int")
+    dealt = marked.withColumn("part", part).repartitionById(groups, "part").select("doc_id", "piece", "size", "source", "cluster", "part")
 
     def packed(part: pa.Table) -> pa.Table:
         rows = part.sort_by([("size", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("source", "ascending"), ("cluster", "ascending")])
@@ -122,7 +128,12 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataF
             "bin_id": pa.array([f"b-{name}-{b}" for b in bins]), "bin_offset": pa.array(offsets, pa.int64()),
         })
 
-    return rests.groupBy("part").applyInArrow(packed, SCHEMA).unionByName(whole)
+    def run(batches):
+        rows = [b for b in batches if b.num_rows]  # a partition is one group
+        if rows:
+            yield from packed(pa.Table.from_batches(rows)).to_batches()
+
+    return dealt.mapInArrow(run, SCHEMA).unionByName(whole)
 
 
 def assemble(docs: DataFrame, packed: DataFrame, words: str = "words") -> DataFrame:
@@ -132,9 +143,10 @@ def assemble(docs: DataFrame, packed: DataFrame, words: str = "words") -> DataFr
     return packed.join(docs.select("doc_id", words), "doc_id").groupBy("bin_id").agg(F.flatten(F.array_sort(F.collect_list(piece))["tokens"]).alias("tokens"))
 
 
-def with_lengths(docs: DataFrame) -> DataFrame:
-    """doc_id, n_tokens (words between ASCII white space), source, and cluster: a hash of the text's words in ASCII lower
-    case, so that copies of one text share it; null for texts without words."""
+def with_lengths(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """doc_id, n_tokens, source, and cluster: a hash of the text's words in ASCII lower case, so that copies of one text share it; null
+    for texts without words. Tokens are those of a tokenizer's file (as in token_files), or, without one, words between ASCII white
+    space: windows are then of words, and encoding costs nothing."""
     ship(docs.sparkSession)
 
     def run(batches):
@@ -144,6 +156,9 @@ def with_lengths(docs: DataFrame) -> DataFrame:
                 words = text.lower().split()
                 n.append(len(words))
                 cluster.append(xxhash.xxh3_128_hexdigest(b" ".join(words)) if words else None)
+            if tokenizer:
+                enc = encoder(tokenizer, 0)
+                n = [len(enc.encode(t or "")) // enc.width - 1 for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), batch.column(1), pa.array(cluster, pa.string())], names=["doc_id", "n_tokens", "source", "cluster"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text")
@@ -156,8 +171,8 @@ def with_near_clusters(docs: DataFrame) -> DataFrame:
     rows = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text").withColumn("_row", F.monotonically_increasing_id()), "rows")
     own = rows.select(F.col("_row").alias("doc_id"), "source", "text")
     linked = minhash.link(own.select("doc_id", "text"), 5, 80).select("doc_id", F.col("component_id").cast("string").alias("cluster"))
-    lengths = with_lengths(own).drop("cluster").join(linked, "doc_id").withColumnRenamed("doc_id", "_row")
-    return lengths.join(rows.select("_row", "doc_id"), "_row").select("doc_id", "n_tokens", "source", "cluster")
+    words = F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), ASCII_SPACE), "")).cast("long")
+    return rows.select("_row", "doc_id", words.alias("n_tokens"), "source").join(linked.withColumnRenamed("doc_id", "_row"), "_row").select("doc_id", "n_tokens", "source", "cluster")
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

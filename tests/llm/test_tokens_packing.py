@@ -194,6 +194,27 @@ def test_packed_bins_hold_what_they_may(spark):
     assert all(r.start == r.piece * 100 for r in got)
 
 
+def test_a_hot_id_is_dealt_out(spark, monkeypatch):
+    """A third of all rows have one doc_id, or none: no group grows with them."""
+    monkeypatch.setattr(packing, "HOT_ROWS", 20)
+    rows = [(7, 5, f"s{i}", None) for i in range(300)] + [(None, 5, None, None)] * 300 + [(100 + i, 5, None, None) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, n_tokens long, source string, cluster string")
+    got = packing.pack(docs, capacity=100, group=50).collect()
+    assert len(got) == 900
+    groups = {}
+    for r in got:
+        name = r.bin_id.split("-")[1]
+        groups[name] = groups.get(name, 0) + 1
+    assert max(groups.values()) < 110
+    assert len({r.bin_id for r in got}) < 900 * 5 / 100 + 18 * 2
+
+
+def test_lengths_in_tokens(spark, words):
+    docs = odd(spark, [(i, t) for i, t in enumerate(TEXTS)])
+    got = {r.doc_id: r.n_tokens for r in packing.with_lengths(docs, WORDS).collect()}
+    assert got == {i: len(words.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(TEXTS)}
+
+
 def test_packing_cases(spark):
     docs = odd(spark, [(0, None), (1, ""), (2, "A b"), (3, "a  B"), (4, "w " * 5000)])
     lengths = {r.doc_id: r for r in packing.with_lengths(docs).collect()}
