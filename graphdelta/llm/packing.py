@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphdelta.llm import minhash
-from graphdelta.llm._common import ASCII_SPACE, BROADCAST_ROWS, HOT_ROWS, binary_values, materialize, ship, table
+from graphdelta.llm._common import BROADCAST_ROWS, HOT_ROWS, binary_values, extended, materialize, ship, table
 from graphdelta.llm.token_files import encoder
 
 CAPACITY, GROUP = 2048, 8192
@@ -165,14 +165,29 @@ def with_lengths(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     return own.mapInArrow(run, "doc_id long, n_tokens long, source string, cluster string")
 
 
+def word_counts(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """`keep` columns of docs with n_tokens (words between ASCII white space)."""
+
+    def run(batches):
+        for batch in batches:
+            n = [len(t.split()) for t in binary_values(batch.column(batch.num_columns - 1))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n, pa.int64())], names=[*keep, "n_tokens"])
+
+    return docs.select(*keep, "text").mapInArrow(run, extended(docs, keep, "n_tokens long"))
+
+
 def with_near_clusters(docs: DataFrame) -> DataFrame:
-    """The columns of with_lengths, but cluster is the component of near copies: shingles of five words, a similarity of 0.8.
-    Rows are linked by a number of their own, so that rows of a null or repeated doc_id are each compared by their text."""
-    rows = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text").withColumn("_row", F.monotonically_increasing_id()), "rows")
-    own = rows.select(F.col("_row").alias("doc_id"), "source", "text")
-    linked = minhash.link(own.select("doc_id", "text"), 5, 80).select("doc_id", F.col("component_id").cast("string").alias("cluster"))
-    words = F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), ASCII_SPACE), "")).cast("long")
-    return rows.select("_row", "doc_id", words.alias("n_tokens"), "source").join(linked.withColumnRenamed("doc_id", "_row"), "_row").select("doc_id", "n_tokens", "source", "cluster")
+    """doc_id, n_tokens (words), source and cluster: the component of near copies, by shingles of five words and a similarity of 0.8.
+    Where a doc_id is null or repeated, rows are written with a number of their own and linked by that, so that each is compared by
+    its text."""
+    ship(docs.sparkSession)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text")
+    if own.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL").isEmpty():
+        rows = own.withColumn("_row", F.col("doc_id"))
+    else:
+        rows = materialize(own.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    linked = minhash.link(rows.select(F.col("_row").alias("doc_id"), "text"), 5, 80).select(F.col("doc_id").alias("_row"), F.col("component_id").cast("string").alias("cluster"))
+    return word_counts(rows, ["_row", "doc_id", "source"]).join(linked, "_row").select("doc_id", "n_tokens", "source", "cluster")
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
