@@ -12,8 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tables import documents, odd
 
-import corpus_pipeline
-from graphdelta.llm import byte_bpe, minhash, packing, quality, secrets, token_files, toxicity
+from graphdelta.llm import byte_bpe, packing, token_files
 
 SF = "/root/testdata/sf0.001"
 WORDS, RANKS = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -251,44 +250,3 @@ def test_near_copies_of_different_sources_share_no_bin(spark, tmp_path):
     assert len(near) == 5
     assert len(set(near)) == 5
     assert len({r.bin_id for r in got}) == 5  # what is no near copy is packed with the others
-
-
-# ---- pipeline --------------------------------------------------------------------------------------------------------------------
-
-
-def test_pipeline_is_its_operators_one_by_one(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    known = spark.read.parquet(f"{SF}/labels.parquet")
-    names = [n for n, _ in corpus_pipeline.STAGES]
-    assert names == ["toxicity", "quality", "near_dedup", "secrets", "packing"]
-    kept, ids = docs, []
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        after = stage(spark, kept, SF)
-        assert after.columns == docs.columns
-        path = token_files.fresh_path(spark, name)
-        after.write.parquet(path)
-        after = spark.read.parquet(path)
-        ids.append({r.doc_id for r in after.select("doc_id").collect()})
-        if name == "toxicity":
-            model = toxicity.fit(kept.select("doc_id", "text"), known)
-            want = {r.doc_id for r in kept.collect() if model.score(*model.log_ratio([(r.text or "").encode()]))[0] < 0.5}
-        elif name == "quality":
-            ratio = quality.fit(kept.select("doc_id", "text"), known)
-            want = set()
-            for r in kept.collect():
-                n, _, _, _, repeated = quality.base_features((r.text or "").encode())
-                if n >= 50 and 100 * repeated <= 50 * n and ratio.score([(r.text or "").encode()])[0] >= ratio.threshold:
-                    want.add(r.doc_id)
-        elif name == "near_dedup":
-            want = {r.doc_id for r in minhash.link(kept.select("doc_id", "text"), 5, 80).collect() if r.doc_id == r.component_id}
-        else:
-            want = ids[-2]
-            scanner = secrets.fit(kept)
-            texts = {r.doc_id: r.text for r in kept.collect()}
-            assert all(r.text == secrets.redacted(texts[r.doc_id], scanner.spans([texts[r.doc_id]])[0]) for r in after.collect())
-        assert ids[-1] == want
-        kept = after
-    packed = corpus_pipeline.STAGES[-1][1](spark, kept, SF)
-    assert packed.agg(F.sum("n_tokens")).first()[0] == sum(len(r.text.encode().split()) for r in kept.collect())
-    run = sorted((r.doc_id, r.piece, r.n_tokens) for r in corpus_pipeline.run(spark, SF).collect())
-    assert run == sorted((r.doc_id, r.piece, r.n_tokens) for r in packed.collect())
