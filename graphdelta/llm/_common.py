@@ -102,6 +102,8 @@ def hub_join(rows: DataFrame, side: DataFrame, keys: list[str], times: str, tota
     many rows have it; total: of all rows, or more. Keys of more than HOT_ROWS rows and of more than total / BROADCAST_ROWS are
     BROADCAST_ROWS at most, so these are broadcast; the others are joined by a shuffle, in which no key has more rows."""
     hot = max(HOT_ROWS, total // BROADCAST_ROWS)
+    if total <= hot or side.where(F.col(times) > hot).isEmpty():
+        return rows.join(side.drop(times), keys)
     few = F.broadcast(side.where(F.col(times) > hot).drop(times).withColumn("_hot", F.lit(True)))
     values = [c for c in side.columns if c not in (*keys, times)]
     marked = rows.join(few, keys, "left")

@@ -35,8 +35,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     now = materialize(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen, total = None, now.count()
     for _ in range(most_rounds):
-        after = materialize(_star(_star(now, False, total), True, total).distinct(), "edges")  # no star gives more edges than it takes
-        discard(now)
+        large = materialize(_star(now, False, total).distinct(), "edges")  # no star gives more edges than it takes
+        after = materialize(_star(large, True, total).distinct(), "edges")
+        discard(now, large)
         now = after
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         total = state[0]
