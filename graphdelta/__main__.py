@@ -1,7 +1,9 @@
 """Command line over a graph store in Parquet or over source trees.
 
     python -m graphdelta extract ROOT --store DIR --id NAME
-    python -m graphdelta diff|changelog|drift --store DIR --base A --head B [--config FILE] [--view V] [--format F] [--full] [--scope GLOB ...] [--list]
+    python -m graphdelta diff|changelog|drift --store DIR (--base A | --baseline FILE) --head B [--config FILE] [--quiet | --show] [--view V] [--format F] [--full] [--scope GLOB ...] [--list]
+    python -m graphdelta snapshot --store DIR --head B [--out FILE]
+    python -m graphdelta trace --base FILE --head FILE
     python -m graphdelta files|doc|init --store DIR --head B
     python -m graphdelta walk --store DIR --log FILE [--view V]
 """
@@ -10,19 +12,25 @@ from __future__ import annotations
 
 import argparse
 import sys
+from pathlib import Path
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from graphdelta.engine import DENIED, ERROR, OK, Engine, gate_comment, load_config
-from graphdelta.operators import render, reports
+from graphdelta.operators import diff, render, reports
 from graphdelta.plans.config import ConfigError
+from graphdelta.plans.schema import union_graphs
 from graphdelta.sources import files
 
 
 def arguments(argv: list[str]) -> argparse.Namespace:
     top = argparse.ArgumentParser(prog="graphdelta")
     commands = top.add_subparsers(dest="command", required=True)
-    for name in ("extract", "diff", "changelog", "drift", "files", "doc", "init", "walk", "comment"):
+    trace = commands.add_parser("trace")  # texts in which a command's output of either version stands
+    trace.add_argument("--base", required=True)
+    trace.add_argument("--head", required=True)
+    for name in ("extract", "diff", "changelog", "drift", "files", "doc", "init", "walk", "comment", "snapshot"):
         own = commands.add_parser(name)
         own.add_argument("--store", required=True)
         if name == "extract":
@@ -42,7 +50,15 @@ def arguments(argv: list[str]) -> argparse.Namespace:
         else:
             own.add_argument("--head", required=True)
             if name in ("diff", "changelog", "drift", "comment"):
-                own.add_argument("--base", required=True)
+                side = own.add_mutually_exclusive_group(required=True)
+                side.add_argument("--base")
+                side.add_argument("--baseline", help="a file that snapshot wrote, in place of a version of the store")
+            if name == "diff":
+                drawn = own.add_mutually_exclusive_group()
+                drawn.add_argument("--show", action="store_true", help="draw the views (the default)")
+                drawn.add_argument("--quiet", action="store_true", help="findings and summary alone")
+            if name == "snapshot":
+                own.add_argument("--out", default="-")
     return top.parse_args(argv)
 
 
@@ -55,13 +71,37 @@ def extract(spark: SparkSession, root: str, store: str, graph_id: str) -> None:
     files.write_graph(nodes.unionByName(tables), edges.unionByName(keys), store)
 
 
+def trace(spark: SparkSession, a: argparse.Namespace, out) -> int:
+    """Sequence blocks in two texts, and how they differ. It reports and never denies."""
+    side = lambda path: reports.fenced_sequences(spark.read.text(path, wholetext=True).select(F.lit("p").alias("pair_id"), F.col("value").alias("text")))
+    base, head = side(a.base), side(a.head)
+    found = diff.block_delta(base, head).orderBy("pos").collect()
+    added, removed = ([r.block for r in found if r.side == s] for s in "+-")
+    out.write(f"trace: {base.count()} base trace(s), {head.count()} head trace(s), {len(added)} added, {len(removed)} removed vs {a.base}\n")
+    out.write("".join(f"\n+ added trace:\n{x}\n" for x in added) + "".join(f"\n- removed trace:\n{x}\n" for x in removed))
+    return OK
+
+
 def run(spark: SparkSession, a: argparse.Namespace, out=sys.stdout) -> int:
+    if a.command == "trace":
+        return trace(spark, a, out)
     if a.command == "extract":
         extract(spark, a.root, a.store, a.id)
         return OK
     config = load_config(a.config)
     wanted = None if a.command == "walk" else [x for x in (getattr(a, "base", None), a.head) if x]
-    engine = Engine(spark, *files.read_graph(spark, a.store, wanted))
+    graph = files.read_graph(spark, a.store, wanted)
+    if getattr(a, "baseline", None):
+        a.base = a.baseline
+        graph = union_graphs(graph, files.read_snapshot_text(spark, a.baseline, a.baseline))
+    engine = Engine(spark, *graph)
+    if a.command == "snapshot":
+        text = files.snapshot_text(*graph)
+        if a.out == "-":
+            out.write(text)
+        else:
+            Path(a.out).write_text(text)
+        return OK
     if a.command == "files":
         out.write(reports.file_index_text(engine.files().collect()))
         return OK
@@ -89,7 +129,7 @@ def run(spark: SparkSession, a: argparse.Namespace, out=sys.stdout) -> int:
     else:
         if a.list:
             out.write("".join(f"{r.line}\n" for r in seen.change_list().orderBy("pos").collect()))
-        for view in [a.view] if a.view else seen.views():
+        for view in [] if a.quiet else [a.view] if a.view else seen.views():
             for r in seen.diagram(view, a.format, a.full, a.scope, a.entry).collect():
                 out.write(r.text)
         for f in seen.findings.orderBy("rule", "message").collect():

@@ -132,19 +132,21 @@ def crate_edges(edges: DataFrame, keys: tuple[str, ...] = ("graph_id",)) -> Data
     return own.where(F.col("from") != F.col("to")).distinct()
 
 
-def crate_tiers(crates: DataFrame, deps: DataFrame, keys: tuple[str, ...] = ("graph_id",), most: int = 64) -> DataFrame:
-    """*keys, id, tier: longest chain of dependencies below each crate (0: none). A cycle stops after `most` steps."""
+def crate_tiers(crates: DataFrame, deps: DataFrame, keys: tuple[str, ...] = ("graph_id",)) -> DataFrame:
+    """*keys, id, tier: longest chain of dependencies below each crate (0: none), however long. The crates of a cycle are one link of
+    a chain and share a tier."""
     k = list(keys)
-    tier = crates.select(*k, "id").distinct().withColumn("tier", F.lit(0))
-    tier = materialize(tier)
-    for _ in range(most):
-        above = deps.join(tier.withColumnRenamed("id", "to"), [*k, "to"]).groupBy(*k, F.col("from").alias("id")).agg((F.max("tier") + 1).alias("t"))
-        after = materialize(tier.join(above, [*k, "id"], "left").select(*k, "id", F.greatest("tier", F.coalesce("t", F.lit(0))).alias("tier")))
-        changed = not after.exceptAll(tier).isEmpty()
-        tier = after
-        if not changed:
-            break
-    return tier
+    of = materialize(strong_components(deps, keys))
+    ends = deps.select(*k, "from", "to").join(of.withColumnsRenamed({"id": "from", "component": "cf"}), [*k, "from"]).join(of.withColumnsRenamed({"id": "to", "component": "ct"}), [*k, "to"])
+    links = materialize(ends.where("cf != ct").select(*k, F.col("cf").alias("id"), F.col("ct").alias("to")).distinct())
+    own = materialize(crates.select(*k, "id").distinct().join(of, [*k, "id"], "left").withColumn("component", F.coalesce("component", "id")))
+    tier = materialize(own.select(*k, F.col("component").alias("id")).unionByName(links.select(*k, F.col("to").alias("id"))).distinct().withColumn("tier", F.lit(0)))
+    while True:  # links have no cycle, so it ends
+        above = links.join(tier.withColumnRenamed("id", "to"), [*k, "to"]).groupBy(*k, "id").agg((F.max("tier") + 1).alias("t"))
+        after = materialize(tier.join(above, [*k, "id"], "left").select(*k, "id", F.greatest("tier", F.coalesce("t", F.lit(0))).alias("tier"), (F.coalesce("t", F.lit(0)) > F.col("tier")).alias("grew")))
+        tier = after.drop("grew")
+        if after.where("grew").isEmpty():
+            return own.join(tier.withColumnRenamed("id", "component"), [*k, "component"]).select(*k, "id", "tier")
 
 
 def call_slice(calls: DataFrame, entries: DataFrame, depth: int = 32, keys: tuple[str, ...] = ("graph_id",)) -> DataFrame:

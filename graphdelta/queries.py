@@ -183,6 +183,15 @@ def q_threshold_sweep(spark, sf_dir):
     return replay.sweep_totals(_documents(spark, sf_dir)).drop("pair_id")
 
 
+@query
+def q_module_reconciliations(spark, sf_dir):
+    """Modules that file renames alone carry over to another id."""
+    base, head, renames = tg.renamed_nations(spark, sf_dir)
+    b, h = diff.sides(base.unionByName(head), tg.one_pair(spark))
+    none = _no_edges(spark).drop("change")
+    return replay.module_reconciliations(diff.diff((b, none), (h, none), None, renames)).select("pair_id", "n")
+
+
 @query
 def q_near_miss(spark, sf_dir):
     """The best 20 pairs that stay apart at 0.7, and how many there are."""
@@ -370,6 +379,26 @@ def q_crate_deps(spark, sf_dir):
     return graphops.crate_edges(own).select("graph_id", F.col("from").alias("from_id"), F.col("to").alias("to_id"))
 
 
+def _cyclic_deps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers depend on their nation, nations on their region, and the nations of a region on one another in a ring."""
+    nations, customers = tg.table(spark, sf_dir, "nation"), tg.table(spark, sf_dir, "customer")
+    text = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    ring = nations.select("n_regionkey", "n_nationkey", F.lead("n_nationkey").over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")).alias("next"), F.min("n_nationkey").over(Window.partitionBy("n_regionkey")).alias("first"))
+    rows = [
+        customers.select(text("c", "c_custkey").alias("from"), text("n", "c_nationkey").alias("to")),
+        nations.select(text("n", "n_nationkey").alias("from"), text("r", "n_regionkey").alias("to")),
+        ring.select(text("n", "n_nationkey").alias("from"), F.concat(F.lit("n"), F.coalesce("next", "first").cast("string")).alias("to")),
+    ]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).withColumn("graph_id", F.lit("g"))
+
+
+@query
+def q_crate_tiers_cyclic(spark, sf_dir):
+    deps = _cyclic_deps(spark, sf_dir)
+    crates = deps.select("graph_id", F.explode(F.array("from", "to")).alias("id"))
+    return graphops.crate_tiers(crates, deps).select("id", F.col("tier").cast("long").alias("tier"))
+
+
 def _tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls, _ = _tree_calls(spark, sf_dir)
     deps = calls.where("ordinal >= 0").select("graph_id", "from", "to")
@@ -517,6 +546,43 @@ def q_extract_edges(spark, sf_dir):
     return edges.select("graph_id", "kind", F.col("from").alias("from_id"), F.col("to").alias("to_id"), F.col("ordinal").cast("long").alias("ordinal"))
 
 
+FACTS_SOURCE = """
+use crate::shared::{{Lane as Track, deep::Lock}};
+/// Number {k}.
+pub struct Keel {{ pub span: u64 }}
+pub struct Hull {{ pub keel: Option<Box<Keel>>, rows: Vec<Arc<Track>>, n: u16 }}
+pub trait Sail {{ const MOST: u8; fn set(&self, at: u8) -> Keel; }}
+impl Sail for Hull {{ fn set(&self, at: u8) -> Keel {{ make(at) }} }}
+pub fn make<T: Into<u8>>(at: T, wide: &Keel) -> Option<Keel> {{ None }}
+"""
+
+
+def _facts(spark: SparkSession, sf_dir: str):
+    """A version per region with a module per nation, written from a fixed source: uses, wrapped types, a trait and its
+    implementation, signatures."""
+    from graphdelta.sources.rustsrc.scan import rust_graph
+
+    before, after = FACTS_SOURCE.format(k="\0").split("\0")
+    nations = tg.table(spark, sf_dir, "nation").select(F.col("n_regionkey").cast("string").alias("graph_id"), F.col("n_nationkey").cast("string").alias("k"))
+    own = nations.select("graph_id", F.concat(F.lit("src/n"), "k", F.lit(".rs")).alias("path"), F.concat(F.lit(before), "k", F.lit(after)).alias("content"))
+    mods = F.array_join(F.sort_array(F.collect_list(F.concat(F.lit("mod n"), "k", F.lit(";\n")))), "")
+    roots = nations.groupBy("graph_id").agg(F.concat(F.lit("pub mod shared;\n"), mods).alias("content")).withColumn("path", F.lit("src/lib.rs"))
+    shared = nations.select("graph_id").distinct().withColumns({"path": F.lit("src/shared.rs"), "content": F.lit("pub struct Lane { }\npub mod deep { pub struct Lock; }\n")})
+    every = own.unionByName(roots).unionByName(shared)
+    return rust_graph(materialize(every.select("graph_id", "path", F.encode("content", "UTF-8").alias("content"))))
+
+
+@query
+def q_extract_facts(spark, sf_dir):
+    """Nodes with kind, members, types, member types and signature, and all edges, as text."""
+    nodes, edges = _facts(spark, sf_dir)
+    join = lambda x: F.array_join(x, ",")
+    fp = F.when(F.col("fp").isNull(), "").otherwise(F.concat_ws("|", join(F.transform("fp.members", lambda m: m)), join(F.transform("fp.field_types", lambda e: F.concat(e["t"], F.lit("*"), e["n"].cast("string")))), join(F.transform("fp.member_types", lambda e: F.concat(e["m"], F.lit(":"), e["t"])))))
+    sig = join(F.transform("attrs", lambda e: F.concat(e["k"], F.lit("="), e["v"])))
+    rows = nodes.select("graph_id", F.col("kind").alias("kind"), "id", F.concat_ws("|", fp, sig).alias("value"))
+    return rows.unionByName(edges.select("graph_id", "kind", F.col("from").alias("id"), F.col("to").alias("value")))
+
+
 SCHEMA_SOURCE = """
 table! {{ nations (key) {{ key -> Int4, {columns} }} }}
 diesel::table! {{ regions (key) {{ key -> Int4, name -> Varchar, }} }}

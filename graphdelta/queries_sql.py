@@ -102,7 +102,20 @@ WITH b AS (SELECT conv_id, turn, 'sequenceDiagram' || chr(10) || rtrim('  ' || r
 f AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, block) - 1 AS pos, block FROM b)
 """
 
+#: Rows of every nation's module: kind, id below the module (empty: the module), value.
+FACTS = """
+WITH m AS (SELECT n_regionkey::VARCHAR AS graph_id, 'crate::n' || n_nationkey AS id FROM nation),
+own(kind, tail, value) AS (VALUES ('Module', '', '|'), ('Struct', '::Keel', 'span|u64*1|span:u64|'), ('Struct', '::Hull', 'keel,n,rows|Keel*1,Track*1,u16*1|keel:Keel,n:u16,rows:Track|'), ('Trait', '::Sail', 'MOST,set||MOST:u8,set:Keel|'),
+  ('Fn', '::Hull::set', 'at|Keel*1,u8*1|at:u8|sig=(&self, at: u8) -> Keel'), ('Fn', '::make', 'at,wide|Keel*2,T*1|at:T,wide:Keel|sig=(at: T, wide: &Keel) -> Option<Keel>')),
+links(kind, tail, target) AS (VALUES ('Associates', '::Hull', '::Keel'), ('Implements', '::Hull', '::Sail'), ('Calls', '::Hull::set', '::make')),
+shared(kind, id, value) AS (VALUES ('Module', 'crate', '|'), ('Module', 'crate::shared', '|'), ('Module', 'crate::shared::deep', '|'), ('Struct', 'crate::shared::Lane', '|||'), ('Struct', 'crate::shared::deep::Lock', '|||')),
+uses(target) AS (VALUES ('crate::shared'), ('crate::shared::deep'))
+SELECT graph_id, kind, id || tail AS id, value FROM m, own UNION ALL SELECT graph_id, kind, id || tail, id || target FROM m, links
+UNION ALL SELECT g.graph_id, shared.* FROM (SELECT DISTINCT graph_id FROM m) g, shared UNION ALL SELECT graph_id, 'Uses', id, target FROM m, uses
+"""
+
 SQL: dict[str, str] = {
+    "q_extract_facts": FACTS,
     "q_edge_set_diff": EVENTS + "SELECT change, f AS from_id, t AS to_id, 'Transitions' AS kind FROM ec",
     "q_node_set_diff": PROFILES + "SELECT CASE WHEN was IS NULL THEN 'Added' WHEN now IS NULL THEN 'Removed' ELSE 'Modified' END AS change, id FROM sides WHERE was IS DISTINCT FROM now",
     "q_member_diff": PROFILES + """, m AS (SELECT coalesce(x.id, y.id) AS id, coalesce(x.m, y.m) AS m, x.t AS was, y.t AS now FROM (SELECT * FROM b WHERE g = 'base') x FULL JOIN (SELECT * FROM b WHERE g = 'head') y ON x.id = y.id AND x.m = y.m)
@@ -124,7 +137,9 @@ SQL: dict[str, str] = {
       z AS (SELECT count(*) FILTER (doc_id % 2 = 1) AS a, count(*) FILTER (doc_id % 2 = 0) AS r FROM documents)
       SELECT a - n AS added, r - n AS removed, n - moved AS modified, moved, 0::BIGINT AS edges_added, 0::BIGINT AS edges_removed, a + r - n AS nodes, 0::BIGINT AS edges, a + r - n AS total FROM k, z""",
     "q_threshold_sweep": MATCHED.replace("{levels}", "[0.5, 0.6, 0.7, 0.8, 0.9]") + """, z AS (SELECT count(*) FILTER (doc_id % 2 = 1) AS a, count(*) FILTER (doc_id % 2 = 0) AS r FROM documents)
-      SELECT th AS threshold, count(rid) AS matches, any_value(a) - count(rid) AS added, any_value(r) - count(rid) AS removed FROM levels LEFT JOIN taken USING (th), z GROUP BY th""",
+      SELECT th AS threshold, count(rid) AS matches, any_value(a) - count(rid) AS added, any_value(r) - count(rid) AS removed FROM levels LEFT JOIN taken USING (th), z GROUP BY th UNION ALL SELECT NULL, 0, a, r FROM z""",
+    "q_module_reconciliations": "SELECT 'p' AS pair_id, count(*) AS n FROM nation WHERE n_nationkey % 5 IN (2, 3)",
+    "q_crate_tiers_cyclic": "SELECT 'c' || c_custkey AS id, 2::BIGINT AS tier FROM customer UNION ALL SELECT 'n' || n_nationkey, 1 FROM nation UNION ALL SELECT DISTINCT 'r' || n_regionkey, 0 FROM nation",
     "q_near_miss": AT_07 + """, rest AS (SELECT * FROM scored WHERE score >= 0.5::DOUBLE AND rid NOT IN (SELECT rid FROM taken) AND aid NOT IN (SELECT aid FROM taken))
       SELECT rid, aid, round(score, 9) AS score, (SELECT count(*) FROM rest) AS n_left FROM rest ORDER BY rest.score DESC, rid, aid LIMIT 20""",
     "q_false_merge_audit": AT_07 + "SELECT rid, aid, round(score, 9) AS score FROM taken ORDER BY taken.score, rid, aid LIMIT 20",

@@ -38,6 +38,28 @@ def read_snapshot(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     return spark.read.schema(NODES).json(f"{path}/nodes"), spark.read.schema(EDGES).json(f"{path}/edges")
 
 
+def snapshot_text(nodes: DataFrame, edges: DataFrame) -> str:
+    """One version as a JSON document, for a file or a pipe: nodes and edges in the order of a sink."""
+    import json
+
+    from graphdelta.plans.schema import normalize_edges, normalize_nodes
+
+    rows = lambda df: [json.loads(x) for x in df.select(F.to_json(F.struct("*")).alias("j")).toPandas()["j"]]
+    return json.dumps({"nodes": rows(normalize_nodes(nodes)), "edges": rows(normalize_edges(edges))}, ensure_ascii=False, indent=1) + "\n"
+
+
+def read_snapshot_text(spark: SparkSession, path: str, graph_id: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of snapshot_text(), under a graph_id of their own."""
+    whole = spark.read.option("multiLine", True).schema(f"nodes array<struct<{_fields(NODES)}>>, edges array<struct<{_fields(EDGES)}>>").json(path)
+    return tuple(whole.select(F.explode(c).alias("x")).select("x.*").withColumn("graph_id", F.lit(graph_id)) for c in ("nodes", "edges"))
+
+
+def _fields(ddl: str) -> str:
+    from pyspark.sql.types import StructType
+
+    return ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in StructType.fromDDL(ddl))
+
+
 def read_renames(spark: SparkSession, path: str, pair_id: str = "p") -> DataFrame:
     """pair_id, old_path, new_path of the R rows of tab-separated name-status text."""
     cells = F.split("value", "\t")
@@ -48,7 +70,7 @@ def read_renames(spark: SparkSession, path: str, pair_id: str = "p") -> DataFram
 def read_log(spark: SparkSession, path: str, repo: str = "repo") -> DataFrame:
     """repo, pos, sha, subject of lines ``sha<TAB>subject``, oldest first. The order is the file's: positions come from line
     offsets within one file, which a log is."""
-    rows = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\n")).alias("pos", "line")).where("line != ''")
+    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("pos", "line")).where("line != ''")
     return rows.select(F.lit(repo).alias("repo"), F.col("pos").cast("long"), F.split("line", "\t")[0].alias("sha"), F.coalesce(F.get(F.split("line", "\t"), F.lit(1)), F.lit("")).alias("subject"))
 
 

@@ -150,11 +150,28 @@ def test_command_line(spark, store, tmp_path):
     assert "+ module crate::c" in out
     assert out.endswith("2 change(s) vs v1, 1 denial(s), 0 warning(s)\n")
     assert call("diff", "--store", store, "--base", "v1", "--head", "v2")[0] == 0
+    # a snapshot stands in for a version of the store
+    old = str(tmp_path / "v1.json")
+    assert call("snapshot", "--store", store, "--head", "v1", "--out", old) == (0, "")
+    assert call("snapshot", "--store", store, "--head", "v1")[1] == (tmp_path / "v1.json").read_text()
+    same = call("diff", "--store", store, "--baseline", old, "--head", "v2", "--config", str(config), "--list", "--quiet")
+    quiet = call("diff", "--store", store, "--base", "v1", "--head", "v2", "--config", str(config), "--list", "--quiet")
+    assert same[0] == quiet[0] == code
+    assert same[1].replace(old, "v1") == quiet[1]
+    assert set(quiet[1].splitlines()) < set(out.splitlines())
+    assert call("diff", "--store", store, "--base", "v1", "--head", "v2", "--config", str(config), "--list", "--show") == (code, out)
+    # traces
+    block = lambda who: f"```mermaid\nsequenceDiagram\n  {who}->>b: x\n```\n"
+    (tmp_path / "old.txt").write_text("out\n" + block("a") + block("c"))
+    (tmp_path / "new.txt").write_text(block("c") + "more\n" + block("d"))
+    got = call("trace", "--base", str(tmp_path / "old.txt"), "--head", str(tmp_path / "new.txt"))
+    assert got == (0, f"trace: 2 base trace(s), 2 head trace(s), 1 added, 1 removed vs {tmp_path / 'old.txt'}\n\n+ added trace:\nsequenceDiagram\n  d->>b: x\n\n- removed trace:\nsequenceDiagram\n  a->>b: x\n")
     assert "Total: 2" in call("drift", "--store", store, "--base", "v1", "--head", "v2")[1]
     assert "## Dependencies" in call("changelog", "--store", store, "--base", "v1", "--head", "v2")[1]
     assert "`src/a.rs`" in call("files", "--store", store, "--head", "v2")[1]
     log = tmp_path / "log.tsv"
     log.write_text("v1\tfirst\nv2\tsecond\nv3\tthird\n")
+    assert [(r.pos, r.sha) for r in files.read_log(spark, str(log)).orderBy("pos").collect()] == [(0, "v1"), (1, "v2"), (2, "v3")]
     out = call("walk", "--store", store, "--log", str(log))[1]
     assert out.index("=== v2 second ===") < out.index("=== v3 third ===")
     source = tmp_path / "code" / "src"

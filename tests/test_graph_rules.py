@@ -144,4 +144,8 @@ def test_tiers(spark):
     deps = spark.createDataFrame([("g", "app", "util"), ("g", "util", "core"), ("g", "app", "core")], "graph_id string, `from` string, `to` string")
     assert {r.id: r.tier for r in graphops.crate_tiers(crates, deps).collect()} == {"app": 2, "util": 1, "core": 0}
     ring = spark.createDataFrame([("g", "app", "util"), ("g", "util", "app")], "graph_id string, `from` string, `to` string")
-    assert graphops.crate_tiers(crates, ring, most=4).where(F.col("id") == "core").first().tier == 0
+    assert {r.id: r.tier for r in graphops.crate_tiers(crates, ring).collect()} == {"app": 0, "util": 0, "core": 0}
+    below = ring.unionByName(spark.createDataFrame([("g", "util", "core")], ring.schema))
+    assert {r.id: r.tier for r in graphops.crate_tiers(crates, below).collect()} == {"app": 1, "util": 1, "core": 0}
+    chain = spark.createDataFrame([("g", f"c{i:03}", f"c{i + 1:03}") for i in range(70)], ring.schema)
+    assert graphops.crate_tiers(chain.select("graph_id", F.col("from").alias("id")), chain).where("id = 'c000'").first().tier == 70
