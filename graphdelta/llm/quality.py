@@ -5,9 +5,9 @@ LOAD distinct features at most to a bucket (distinct ones are estimated first, f
 `most` buckets are broadcast; more stay a Spark table, of which the HOT buckets with the most features are broadcast and the
 others joined to the features of each text. Two multinomials, smoothed by ALPHA: the target one counts documents that
 `labels.quality` trusts (those of the fold that sets the threshold left out), the raw one counts every document. A text's
-score is the mean over its features of log target - log raw; the threshold is fixed before scoring, from the left-out
-fold (at most `calibrate` rows, by hash): the cut between trusted and other rows with the best balanced accuracy, but low
-enough to keep all but 0.5 % of the trusted ones. Every document is held against that one number.
+score is the mean over its features of log target - log raw; the threshold is fixed before scoring, from all labelled rows of
+the left-out fold with 50 words or more: the cut between trusted and other rows with the best balanced accuracy, but low enough to
+keep all but 0.5 % of the trusted ones. It is exact and found in Spark, in ranges of scores. Every document is held against that one number.
 
 Cases: a null or empty text has no words, fails the base rule and scores 0; labels without a document, or null ones, are
 ignored, of contradictory ones the trusting one counts; without trusted rows every score is 0 and the threshold is below
@@ -26,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphdelta.llm._common import binary_values, extended, fold, hashed_words, in_slices, join_labels, joined_sums, label_rows, materialize, mix, ngram_hashes, ship, table, text_keys, tuning_rows, word_hashes
+from graphdelta.llm._common import binary_values, discard, extended, fold, hashed_words, in_slices, join_labels, joined_sums, label_rows, materialize, mix, ngram_hashes, ship, table, text_keys, word_hashes
 
-BUCKETS, ALPHA, CALIBRATE = 1 << 17, 0.5, 20_000
+BUCKETS, ALPHA = 1 << 17, 0.5
 LOAD, SKETCH, RANGE, MOST, HOT = 16, 1 << 12, 1 << 14, 1 << 24, 1 << 16
 FOLDS, TUNED, LEAST_KEPT = 5, 0, 0.995
+#: Distinct scores that a task compares when the threshold is sought.
+CUTS = 1 << 12
 SYMBOLS = bytes(c for c in range(256) if c not in b"#*$%&|<>")
 BLANKS = b" \t\n\x0b\x0c\r"
 
@@ -212,7 +214,7 @@ def _weights(marked: DataFrame, buckets: int, most: int) -> Ratio:
     return Ratio(hot.column("w").to_numpy(), buckets=buckets, hot=hot.column("b").to_numpy(), table=weights.select("b", "w"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, calibrate: int = CALIBRATE, most: int = MOST, least: int = BUCKETS) -> Ratio:
+def fit(docs: DataFrame, labels: DataFrame, most: int = MOST, least: int = BUCKETS) -> Ratio:
     """Multinomials of all of `docs` (doc_id, text) and of its trusted rows, and the threshold."""
     ship(docs.sparkSession)
     known = label_rows(labels, "quality")
@@ -220,22 +222,38 @@ def fit(docs: DataFrame, labels: DataFrame, calibrate: int = CALIBRATE, most: in
     own = docs.select("doc_id", "text")
     marked = join_labels(own, known, "left").select("text", trusted.alias("trusted"))
     ratio = _weights(marked, bucket_count(own, least), most)
-    sample = tuning_rows(own, known.where(fold("doc_id", FOLDS) == TUNED), calibrate)
-    tuned = judged(sample.select("doc_id", "text", "_label"), ratio, ["_label"]).where("n_words >= 50").select("score", "_label").toArrow()
-    ratio.threshold = threshold(tuned.column(0).to_numpy(), tuned.column(1).to_numpy())
+    left_out = fold("doc_id", FOLDS) == TUNED
+    tuned = join_labels(own.where(left_out), known.where(left_out)).select("text", "_label")
+    ratio.threshold = threshold(judged(tuned, ratio, ["_label"]).where("n_words >= 50").select("score", "_label"))
     return ratio
 
 
-def threshold(score: np.ndarray, label: np.ndarray, least_kept: float = LEAST_KEPT) -> float:
-    good, bad = np.sort(score[label == 1]), np.sort(score[label == 0])
-    if not len(good):
+def threshold(scored: DataFrame, least_kept: float = LEAST_KEPT) -> float:
+    """The cut of all scored rows (score, _label). Their distinct scores are dealt out by ranges; each range adds the rows of those before it."""
+    cuts = materialize(scored.groupBy("score").agg(F.count_if(F.col("_label") == 1).alias("good"), F.count_if(F.col("_label") == 0).alias("bad")), "scores")
+    dealt = materialize(cuts.repartitionByRange(1 + cuts.count() // CUTS, "score").withColumn("part", F.spark_partition_id()), "cuts")
+    sums = dealt.groupBy("part").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).orderBy("part").toArrow()  # a row per range
+    own_good, own_bad = (sums.column(x).to_numpy() for x in ("good", "bad"))
+    goods, bads = int(own_good.sum()), int(own_bad.sum())
+    before = {part: (int(g), int(b)) for part, g, b in zip(sums.column("part").to_pylist(), np.cumsum(own_good) - own_good, np.cumsum(own_bad) - own_bad, strict=True)}
+    rank = int((1 - least_kept) * goods)
+
+    def best(part: pa.Table) -> pa.Table:
+        part = part.sort_by("score")
+        score, good, bad = (part.column(x).to_numpy() for x in ("score", "good", "bad"))
+        g, b = before[part.column("part")[0].as_py()]
+        upto = g + np.cumsum(good)
+        gain = (b + np.cumsum(bad) - bad) / max(bads, 1) - (upto - good) / goods
+        at, k = int(np.argmax(gain)), int(np.searchsorted(upto, rank, side="right"))
+        floor = float(score[k]) if g <= rank and k < len(score) else None
+        return pa.table({"cut": pa.array([float(score[at])]), "gain": pa.array([float(gain[at])]), "floor": pa.array([floor], pa.float64())})
+
+    found = dealt.groupBy("part").applyInArrow(best, "cut double, gain double, floor double").collect() if goods else []
+    discard(cuts, dealt)
+    if not found:
         return -1e9
-    floor = float(good[int((1 - least_kept) * len(good))])
-    if not len(bad):
-        return floor
-    cuts = np.unique(score)
-    gain = np.searchsorted(bad, cuts) / len(bad) - np.searchsorted(good, cuts) / len(good)
-    return min(float(cuts[int(np.argmax(gain))]), floor)
+    floor = next(r.floor for r in found if r.floor is not None)
+    return min(min((-r.gain, r.cut) for r in found)[1], floor) if bads else floor
 
 
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
