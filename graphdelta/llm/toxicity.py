@@ -13,9 +13,9 @@ else; its log-likelihood less that of the ordinary model, divided by the number
 
     ratio = 1 / n * sum over words of log(1 - SHARE + SHARE * P_toxic(w) / P_ordinary(w))
 
-All words count, with either sign, and no count is cut. The score is a logistic curve over the ratio, of which slope and offset are fitted on a
-bounded sample of training rows that were left out of the counts (at most `calibrate` rows, by hash). Counts come from all
-labelled training rows and are summed in Spark. Up to `most` words' weights are broadcast (12 bytes each); of more, the HOT
+All words count, with either sign, and no count is cut. The score is a logistic curve over the ratio, of which slope and offset are fitted on
+all rows of the training fold that is left out of the counts; what Newton's method sums over them is summed in Spark. Counts come from all
+labelled rows of the other training folds and are summed in Spark. Up to `most` words' weights are broadcast (12 bytes each); of more, the HOT
 most frequent are, and the others are joined to the words of each text.
 
 Cases: a null or empty text has no words and a ratio of 0, which the curve holds below 0.5; a null doc_id counts as empty text
@@ -33,9 +33,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphdelta.llm._common import binary_values, extended, fold, hashed_words, in_slices, join_labels, joined_sums, label_rows, materialize, ship, table, text_keys, tuning_rows
+from graphdelta.llm._common import binary_values, discard, extended, fold, hashed_words, in_slices, join_labels, joined_sums, label_rows, materialize, ship, table, text_keys
 
-SHARE, CALIBRATE, MOST, HOT = 0.01, 20_000, 1 << 22, 1 << 20
+SHARE, MOST, HOT = 0.01, 1 << 22, 1 << 20
+#: Rows that a task sums over in a step of Newton's method.
+STEP = 1 << 12
 FOLDS, HELD_OUT, TUNED = 5, 0, 4
 #: Discounts stay within these bounds, also where a class has no word that occurs once.
 LEAST_D, MOST_D, SHARED_D = 0.05, 0.95, 0.75
@@ -114,7 +116,7 @@ def log_weight(counts: dict[str, float], share: float = SHARE) -> tuple[Column,
     return F.log(1 - share + share * p[1] / p[0]), float(np.log(1 - share + share * q[1] / q[0]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, calibrate: int = CALIBRATE, most: int = MOST, share: float = SHARE) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, most: int = MOST, share: float = SHARE) -> Model:
     """Learn from the labelled rows of `docs` (doc_id, text) outside the held-out fold."""
     ship(docs.sparkSession)
     known, own = label_rows(labels, "toxic"), docs.select("doc_id", "text")
@@ -128,26 +130,38 @@ def fit(docs: DataFrame, labels: DataFrame, calibrate: int = CALIBRATE, most: in
     weights = words.select("b", weight.cast("float").alias("w"), (F.col("c0") + F.col("c1")).alias("n"))
     held = (weights if counts["rows"] <= most else weights.orderBy(F.desc("n"), "b").limit(min(HOT, most))).select("b", "w").toArrow().sort_by("b")
     model = Model(held.column("b").to_numpy(), held.column("w").to_numpy(), default, table=None if counts["rows"] <= most else weights.select("b", "w"))
-    sample = tuning_rows(own, known.where(fold("doc_id", FOLDS) == TUNED), calibrate)
-    tuned = log_ratios(sample, model, ["_label"]).select("ratio", "n", "_label").toArrow()
-    return calibrated(model, *(tuned.column(k).to_numpy() for k in range(3)))
+    left_out = fold("doc_id", FOLDS) == TUNED
+    tuned = join_labels(own.where(left_out), known.where(left_out))
+    return calibrated(model, log_ratios(tuned, model, ["_label"]).select("ratio", "n", "_label"))
+
+
+def calibrated(model: Model, tuned: DataFrame) -> Model:
+    """A logistic curve over the mean log ratio of all rows of tuned (ratio, n, _label) by Newton's method; its centre is held above 0,
+    so that a text without words is ordinary. Too few or one-sided rows leave the default curve. Each step is one pass in Spark, of
+    which the driver gets five sums a task."""
+    rows = materialize(tuned.select((F.col("ratio") / F.greatest("n", F.lit(1))).alias("x"), F.col("_label").cast("double").alias("y")), "tuning")
+    count, low, high, scale = rows.agg(F.count("*"), F.min("y"), F.max("y"), F.stddev_pop("x")).first()
+    if count < 20 or low == high or scale < 1e-9:
+        discard(rows)
+        return model
+    few, beta = rows.coalesce(1 + count // STEP), np.zeros(2)
 
+    def sums(batches):
+        total = np.zeros(5)
+        for batch in batches:
+            x, y = batch.column(0).to_numpy() / scale, batch.column(1).to_numpy()
+            p = 1 / (1 + np.exp(-np.clip(x * beta[0] + beta[1], -50, 50)))
+            w = np.maximum(p * (1 - p), 1e-6)
+            total += [(w * x * x).sum(), (w * x).sum(), w.sum(), (x * (y - p)).sum(), (y - p).sum()]
+        yield pa.RecordBatch.from_arrays([pa.array([v]) for v in total], names=list("abcde"))
 
-def calibrated(model: Model, ratio: np.ndarray, n: np.ndarray, label: np.ndarray) -> Model:
-    """A logistic curve over the mean log ratio by Newton's method; its centre is held above 0, so that a text without
-    words is ordinary. Too few or one-sided rows leave the default curve."""
-    x, y = ratio / np.maximum(n, 1), label.astype(np.float64)
-    if len(y) < 20 or y.min() == y.max() or x.std() < 1e-9:
-        return model
-    scale = float(x.std())
-    a, beta = np.column_stack([x / scale, np.ones_like(x)]), np.zeros(2)
     for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(a @ beta, -50, 50)))
-        w = np.maximum(p * (1 - p), 1e-6)
-        move = np.linalg.solve(a.T @ (a * w[:, None]) + 1e-3 * np.eye(2), a.T @ (y - p) - 1e-3 * beta)
-        beta += np.clip(move, -2, 2)
+        a, b, c, d, e = (float(v.to_numpy().sum()) for v in few.mapInArrow(sums, "a double, b double, c double, d double, e double").toArrow().columns)
+        move = np.linalg.solve(np.array([[a, b], [b, c]]) + 1e-3 * np.eye(2), np.array([d, e]) - 1e-3 * beta)
+        beta = beta + np.clip(move, -2, 2)
         if np.abs(move).max() < 1e-9:
             break
+    discard(rows)
     model.slope = max(float(beta[0]) / scale, 1e-6)
     model.centre = max(-float(beta[1]) / model.slope, 1e-6)
     return model
