@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from graphdelta.functions.ids import is_containment, layer_of, matches_any, owning_module
 from graphdelta.operators.graphops import strong_components
+from graphdelta.operators.scratch import apart, materialize
 from graphdelta.plans.config import Config
 
 ENDS = ["pair_id", "from", "to"]
@@ -69,18 +70,19 @@ def _cycles(v: Version, rule: str, severity: str, kind: str, node_kind: str, nou
     known = v.ids_of(node_kind)
     edges = v.edges_of(kind).select(*ENDS).distinct()
     for end in ("from", "to"):
-        edges = edges.join(known.withColumnRenamed("id", end), ["pair_id", end], "left_semi")
+        edges = edges.join(apart(known.withColumnRenamed("id", end)), ["pair_id", end], "left_semi")
     outside = ~is_containment("from", "to") if contain else F.lit(True)
     edges = edges.where(outside)
-    parts = strong_components(edges)
+    edges = materialize(edges)
+    parts = materialize(strong_components(edges))
     loops = edges.where(F.col("from") == F.col("to")).select("pair_id", F.col("from").alias("component")).distinct()
     members = parts.groupBy("pair_id", "component").agg(F.sort_array(F.collect_set("id")).alias("ids"))
-    members = members.join(loops.withColumn("loop", F.lit(True)), ["pair_id", "component"], "left").where((F.size("ids") > 1) | F.col("loop"))
+    members = members.join(apart(loops.withColumn("loop", F.lit(True))), ["pair_id", "component"], "left").where((F.size("ids") > 1) | F.col("loop"))
     if v.config.new_only:
         c = parts.withColumnRenamed("id", "from").withColumnRenamed("component", "cf")
         d = parts.withColumnRenamed("id", "to").withColumnRenamed("component", "ct")
-        new = v.changed("EdgeAdded", kind).where(outside).join(c, ["pair_id", "from"]).join(d, ["pair_id", "to"]).where("cf = ct").select("pair_id", F.col("cf").alias("component")).distinct()
-        members = members.join(new, ["pair_id", "component"], "left_semi")
+        new = v.changed("EdgeAdded", kind).where(outside).join(apart(c), ["pair_id", "from"]).join(apart(d), ["pair_id", "to"]).where("cf = ct").select("pair_id", F.col("cf").alias("component")).distinct()
+        members = members.join(apart(new), ["pair_id", "component"], "left_semi")
     return _found(members, rule, severity, F.concat(F.lit(f"{noun}: "), F.array_join("ids", " -> ")))
 
 
@@ -95,20 +97,20 @@ def new_state_cycle(v: Version, severity: str) -> DataFrame:
 def _states(v: Version) -> tuple[DataFrame, DataFrame, DataFrame]:
     states = v.ids_of("Variant")
     if v.config.new_only:
-        states = states.join(v.touched(), ["pair_id", "id"], "left_semi")
+        states = states.join(apart(v.touched()), ["pair_id", "id"], "left_semi")
     ends = v.edges_of("Transitions")
     return states, ends.select("pair_id", F.col("to").alias("id")).distinct(), ends.select("pair_id", F.col("from").alias("id")).distinct()
 
 
 def unreachable_state(v: Version, severity: str) -> DataFrame:
     states, entered, left = _states(v)
-    alone = states.join(entered.unionByName(left).distinct(), ["pair_id", "id"], "left_anti")
+    alone = states.join(apart(entered.unionByName(left).distinct()), ["pair_id", "id"], "left_anti")
     return _found(alone, "unreachable_state", severity, F.concat(F.lit("unreachable state: "), "id"))
 
 
 def terminal_state_without_exit(v: Version, severity: str) -> DataFrame:
     states, entered, left = _states(v)
-    stuck = states.join(entered, ["pair_id", "id"], "left_semi").join(left, ["pair_id", "id"], "left_anti")
+    stuck = states.join(apart(entered), ["pair_id", "id"], "left_semi").join(apart(left), ["pair_id", "id"], "left_anti")
     return _found(stuck, "terminal_state_without_exit", severity, F.concat(F.lit("terminal state without exit: "), "id"))
 
 
